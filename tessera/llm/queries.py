@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe
+from tessera.llm import bpe, langmix, quality, warc
+from tessera.llm.common import crc_remainder
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -27,5 +28,36 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op4_byte_bpe": op4_byte_bpe}
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train on the labelled rows outside the held-out fold; score every text of documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, "text", "score").select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        (crc_remainder("doc_id", 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn languages outside the held-out fold; take every text of documents apart into languages."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langmix.fit(docs.where(crc_remainder("doc_id", 4) != 2))
+    return langmix.predict(docs.drop("lang"), model, "text", "lang_pred", "score").select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        (crc_remainder("doc_id", 4) == 2).alias("held_out"),
+        "lang_pred",
+        "score",
+    )
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write a record for every page, revisits for equal payloads, and read the archives back."""
+    return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select(
+        F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+QUERIES = {"op4_byte_bpe": op4_byte_bpe, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_language": op8_language}
 ORACLE: dict[str, str] = {}
