@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langmix, quality, warc
+from tessera.llm import bpe, langmix, mainhtml, quality, warc
 from tessera.llm.common import crc_remainder
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -59,5 +59,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op4_byte_bpe": op4_byte_bpe, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_language": op8_language}
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train on pages that mark their article; extract the main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    out = mainhtml.extract_main(pages, mainhtml.fit(pages), "html", "text")
+    return out.select(F.col("page_id").cast("long").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES = {"op4_byte_bpe": op4_byte_bpe, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_language": op8_language, "op10_main_text": op10_main_text}
 ORACLE: dict[str, str] = {}
