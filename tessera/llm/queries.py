@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langmix, mainhtml, quality, warc
+from tessera.llm import bpe, langmix, mainhtml, onebit, quality, warc
 from tessera.llm.common import crc_remainder
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -66,5 +66,26 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("page_id").cast("long").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {"op4_byte_bpe": op4_byte_bpe, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_language": op8_language, "op10_main_text": op10_main_text}
-ORACLE: dict[str, str] = {}
+def op1_onebit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every 20th embedding among all others."""
+    return onebit.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), lambda i: i % 20 == 0, 20)
+
+
+OP1_SQL = """
+WITH good AS (
+  SELECT vec_id, min(embedding::DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+  GROUP BY vec_id
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v) AS score
+  FROM good q JOIN good c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM pairs
+)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 20
+"""
+
+QUERIES = {"op1_onebit_search": op1_onebit_search, "op4_byte_bpe": op4_byte_bpe, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_language": op8_language, "op10_main_text": op10_main_text}
+ORACLE: dict[str, str] = {"op1_onebit_search": OP1_SQL}
