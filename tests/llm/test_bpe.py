@@ -38,7 +38,7 @@ def test_transducer_equals_merging_and_has_bounded_state():
     t = bpe.Transducer(bpe.load_ranks(PATH))
     piece = "abcdefghij".encode() * 30
     assert [t.ranks[x] for x in t.merge(piece)] == t.encode(piece)
-    assert max(len(pending) for _, pending, _ in t.states) < 4 * t.longest
+    assert max(len(pending) for _, pending, _, _ in t.states) < 4 * t.longest
 
 
 def test_streaming_decode_waits_for_whole_characters():

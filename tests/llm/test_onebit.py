@@ -39,7 +39,8 @@ def test_estimates_are_unbiased_and_bounds_hold():
     turn = onebit.rotation(64)
     guess, error = onebit.estimate(q, turn, *onebit.encode(v, turn))
     diff = guess - q @ v.T
-    assert abs(diff.mean()) < 0.02 and (np.abs(diff) <= error).mean() > 0.99
+    # the standard error of the mean of independent estimates is a 280th of their spread; four of it
+    assert abs(diff.mean()) < 4 / 280 * diff.std() and (np.abs(diff) <= error).mean() > 0.99
 
 
 def test_edge_rows(spark):
