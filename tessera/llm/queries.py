@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langmix, mainhtml, onebit, quality, warc
+from tessera.llm import bpe, langmix, mainhtml, onebit, quality, triejoin, warc
 from tessera.llm.common import crc_remainder
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -71,6 +71,11 @@ def op1_onebit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return onebit.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), lambda i: i % 20 == 0, 20)
 
 
+def op3_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-word shingle sets have a Jaccard similarity of 0.75 or more."""
+    return triejoin.join(table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = """
 WITH good AS (
   SELECT vec_id, min(embedding::DOUBLE[]) AS v FROM embeddings
@@ -87,5 +92,5 @@ WITH good AS (
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 20
 """
 
-QUERIES = {"op1_onebit_search": op1_onebit_search, "op4_byte_bpe": op4_byte_bpe, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_language": op8_language, "op10_main_text": op10_main_text}
+QUERIES = {"op1_onebit_search": op1_onebit_search, "op3_trie_join": op3_trie_join, "op4_byte_bpe": op4_byte_bpe, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_language": op8_language, "op10_main_text": op10_main_text}
 ORACLE: dict[str, str] = {"op1_onebit_search": OP1_SQL}
