@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langmix, mainhtml, onebit, quality, triejoin, warc
+from tessera.llm import bpe, bwtdedup, langmix, mainhtml, onebit, quality, triejoin, warc
 from tessera.llm.common import crc_remainder
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -76,6 +76,18 @@ def op3_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triejoin.join(table(spark, sf_dir, "documents"))
 
 
+def op9_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Take every byte out of documents that a 100-byte string with an earlier start covers."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bwtdedup.remove(docs, bwtdedup.spans(docs)).select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("dedup_bytes").alias("n_bytes"),
+        F.col("dedup_removed").alias("n_removed"),
+        F.col("dedup_spans").alias("n_spans"),
+        F.sha2("dedup_kept", 256).alias("kept_sha256"),
+    )
+
+
 OP1_SQL = """
 WITH good AS (
   SELECT vec_id, min(embedding::DOUBLE[]) AS v FROM embeddings
@@ -92,5 +104,5 @@ WITH good AS (
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 20
 """
 
-QUERIES = {"op1_onebit_search": op1_onebit_search, "op3_trie_join": op3_trie_join, "op4_byte_bpe": op4_byte_bpe, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_language": op8_language, "op10_main_text": op10_main_text}
+QUERIES = {"op1_onebit_search": op1_onebit_search, "op3_trie_join": op3_trie_join, "op4_byte_bpe": op4_byte_bpe, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_language": op8_language, "op9_bwt_dedup": op9_bwt_dedup, "op10_main_text": op10_main_text}
 ORACLE: dict[str, str] = {"op1_onebit_search": OP1_SQL}
