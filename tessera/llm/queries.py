@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, bwtdedup, langmix, mainhtml, onebit, quality, triejoin, warc
+from tessera.llm import bpe, bwtdedup, decontam, langmix, licences, mainhtml, onebit, quality, triejoin, warc
 from tessera.llm.common import crc_remainder
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -88,6 +88,28 @@ def op9_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence sentences and licences of every document."""
+    found = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "ids", "names")
+    return found.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.size("ids").cast("long").alias("n_sentences"),
+        F.array_join("ids", ",").alias("sentence_ids"),
+        F.array_join("names", ",").alias("licences"),
+    )
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document the benchmark items that its passages leak."""
+    found = decontam.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), output="found")
+    return found.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        (F.size("found") > 0).alias("contaminated"),
+        F.size("found").cast("long").alias("n_items"),
+        F.col("found.item_id").alias("item_ids"),
+    )
+
+
 OP1_SQL = """
 WITH good AS (
   SELECT vec_id, min(embedding::DOUBLE[]) AS v FROM embeddings
@@ -104,5 +126,5 @@ WITH good AS (
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 20
 """
 
-QUERIES = {"op1_onebit_search": op1_onebit_search, "op3_trie_join": op3_trie_join, "op4_byte_bpe": op4_byte_bpe, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_language": op8_language, "op9_bwt_dedup": op9_bwt_dedup, "op10_main_text": op10_main_text}
-ORACLE: dict[str, str] = {"op1_onebit_search": OP1_SQL}
+QUERIES = {"op1_onebit_search": op1_onebit_search, "op2_licences": op2_licences, "op3_trie_join": op3_trie_join, "op4_byte_bpe": op4_byte_bpe, "op5_decontamination": op5_decontamination, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_language": op8_language, "op9_bwt_dedup": op9_bwt_dedup, "op10_main_text": op10_main_text}
+ORACLE: dict[str, str] = {"op1_onebit_search": OP1_SQL, "op2_licences": licences.sql()}
