@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.durable import checkpointed
+
 
 def endpoints(edges: DataFrame) -> DataFrame:
     """Both ends of every edge with its relation (a loop counts twice)."""
@@ -66,7 +68,7 @@ def closure(edges: DataFrame, rounds: int = 20) -> DataFrame:
     every, front = step.withColumn("depth", F.lit(1)), step.withColumn("depth", F.lit(1))
     for depth in range(2, rounds + 1):
         more = front.select("sub", F.col("sup").alias("mid")).join(step.select(F.col("sub").alias("mid"), "sup"), "mid").select("sub", "sup").where("sub <> sup").distinct()
-        front = more.join(every.select("sub", "sup"), ["sub", "sup"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        front = checkpointed(more.join(every.select("sub", "sup"), ["sub", "sup"], "left_anti").withColumn("depth", F.lit(depth)))
         if not front.take(1):
             break
         every = every.unionByName(front)
@@ -138,7 +140,7 @@ def distances(edges: DataFrame, pairs: DataFrame, most: int = 4) -> DataFrame:
     front = reach
     for d in range(1, most + 1):
         step = front.join(both, front.node == both.a).select("start", F.col("b").alias("node")).distinct().join(reach.select("start", "node"), ["start", "node"], "left_anti")
-        front = step.withColumn("d", F.lit(d)).checkpoint()
+        front = checkpointed(step.withColumn("d", F.lit(d)))
         reach = reach.unionByName(front)
     return reach.join(pairs, ["start", "node"]).groupBy("start").agg(F.min_by(F.struct("d", "node"), F.struct("d", "node")).alias("x")).select("start", "x.node", "x.d")
 
