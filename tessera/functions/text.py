@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Annotation properties by what they are worth as sources of aliases.
 REJECTED_TERMS = "alternativeid comment created creator curator date definition deprecated description editor format id identifier namespace note provenance review reviewer semantic slim source status subset type version xref".split()
@@ -16,7 +17,7 @@ ALIAS_TERMS = "alt label name pref synonym term title".split()
 EXACT_KEY, SECOND_KEYS, LOOSE_KEYS = "has exact synonym", ["p107", "p108"], ["has related synonym", "has narrow synonym", "has broad synonym"]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _ascii(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
 

@@ -21,7 +21,7 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None)
     return df.select([F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, columns, strict=False)]) if columns else df
 
 
-@F.pandas_udf("array<struct<tgt:string,score:double>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("tgt", T.StringType()), T.StructField("score", T.DoubleType())])))
 def parse_candidates(values: pd.Series) -> pd.Series:
     """A Python list of names or of (name, score), without evaluating code; anything else is an error."""
 
