@@ -6,8 +6,8 @@ and that token is the one suffix of the prefix whose boundary the merges would k
 piece byte by byte therefore needs, for each open position, only the token that ends there. A state
 of the transducer is that list for the bytes since the last settled boundary, with the token before
 it. A boundary is settled when every chain of tokens that can still be continued passes it; a chain
-can be continued only from the last ``longest token`` positions, which bounds the lookahead. States
-and transitions are made when first met and kept in a bounded table.
+can be continued only where the bytes read since begin some token, so the lookahead is less than the
+longest token. States and transitions are made when first met and kept in a bounded table.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,70 +42,98 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.longest = max(map(len, ranks), default=1)
+        #: The two parts whose merge makes a token of several bytes. What no merge makes is only a whole piece.
+        self.made_of: dict[bytes, tuple[bytes, bytes]] = {}
+        #: 1 for tokens, 2 for proper beginnings of tokens, 3 for both.
+        self.kinds = {t: 1 for t in ranks if len(t) == 1}
+        for token in ranks:
+            if len(token) > 1:
+                parts = self.merge(token, 2)
+                if len(parts) == 2 and parts[0] + parts[1] == token:
+                    self.made_of[token] = (parts[0], parts[1])
+                    self.kinds[token] = 1
+        for start in {t[:i] for t in ranks for i in range(1, len(t))}:
+            self.kinds[start] = self.kinds.get(start, 0) | 2
         self.kept = lru_cache(MEMO_ENTRIES)(self._kept)
         self.reset()
 
     def reset(self) -> None:
-        #: A state: (last settled token, pending bytes, token that ends at each pending position).
-        self.states: list[tuple[bytes, bytes, tuple[bytes, ...]]] = [(b"", b"", ())]
-        self.numbers: dict[tuple, int] = {self.states[0]: 0}
+        #: A state: last settled token; pending bytes; for each pending position the token that ends there, and as bits the boundaries on its chain.
+        self.states: list[tuple[bytes, bytes, tuple[bytes, ...], tuple[int, ...]]] = [(b"", b"", (), ())]
+        self.numbers: dict[tuple, int] = {(b"", b"", ()): 0}
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.ends: dict[int, tuple[int, ...]] = {}
 
-    def merge(self, piece: bytes) -> list[bytes]:
-        """The definition: merge the lowest-ranked neighbouring pair, leftmost first. Only for short pieces."""
+    def merge(self, piece: bytes, least: int = 1) -> list[bytes]:
+        """The definition: merge the lowest-ranked neighbouring pair, leftmost first, down to ``least`` parts. Only for short pieces."""
+        get, none = self.ranks.get, 1 << 62
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 62), i) for i in range(len(parts) - 1))
-            if rank == 1 << 62:
-                break
+        pairs = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while len(parts) > least and (rank := min(pairs)) != none:
+            at = pairs.index(rank)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = get(parts[at - 1] + parts[at], none)
+            if at < len(pairs):
+                pairs[at] = get(parts[at] + parts[at + 1], none)
         return parts
 
     def _kept(self, left: bytes, right: bytes) -> bool:
-        return self.merge(left + right) == [left, right]
+        """Whether the merges keep the boundary: undone from the last, they never leave a pair there that would have merged before."""
+        ranks, made_of = self.ranks, self.made_of
+        limit = 1 << 62
+        while True:
+            rank = ranks.get(left + right)
+            if rank is not None and rank < limit:
+                return False
+            a, b = made_of.get(left), made_of.get(right)
+            if a is None and b is None:
+                return True
+            # the one of higher rank was made later; of equal ones the right one
+            if b is None or a is not None and ranks[left] > ranks[right]:
+                limit, left = ranks[left], a[1]
+            else:
+                limit, right = ranks[right] + 1, b[0]
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        before, pending, ending = self.states[state]
+        before, pending, ending, chains = self.states[state]
         pending += bytes((byte,))
-        n = len(pending)
+        n, kinds, token, common = len(pending), self.kinds, None, -1
         for start in range(max(0, n - self.longest), n):
-            token = pending[start:]
-            if token in self.ranks:
-                left = ending[start - 1] if start else before
-                if not left or self.kept(left, token):
-                    break
+            suffix = pending[start:]
+            kind = kinds.get(suffix)
+            if kind:
+                if kind & 1 and token is None:
+                    left = ending[start - 1] if start else before
+                    if not left or self.kept(left, suffix):
+                        token = suffix
+                if kind & 2:  # more bytes can continue a token from here
+                    common &= chains[start - 1] if start else 0
         ending += (token,)
-        # Boundaries on every chain that starts at one of the positions a later token can begin at.
-        common: set[int] | None = None
-        if n >= self.longest:
-            for at in range(n, max(0, n - self.longest), -1):
-                chain, p = set(), at
-                while p > 0:
-                    chain.add(p)
-                    p -= len(ending[p - 1])
-                common = chain if common is None else common & chain
-                if not common:
-                    break
+        own = (chains[n - len(token) - 1] if len(token) < n else 0) | 1 << n
+        chains += (own,)
+        common &= own
         out: tuple[int, ...] = ()
         if common:
-            cut = max(common)
+            cut = common.bit_length() - 1
             tokens, p = [], cut
             while p > 0:
                 tokens.append(ending[p - 1])
                 p -= len(ending[p - 1])
             tokens.reverse()
-            out = tuple(self.ranks[t] for t in tokens)
+            out = tuple([self.ranks[t] for t in tokens])
             before, pending, ending = tokens[-1], pending[cut:], ending[cut:]
+            chains = tuple([c >> cut & -2 for c in chains[cut:]])
         key = (before, pending, ending)
         number = self.numbers.get(key)
         if number is None:
             number = self.numbers[key] = len(self.states)
-            self.states.append(key)
+            self.states.append((*key, chains))
         return number, out
 
     def _finish(self, state: int) -> tuple[int, ...]:
-        _, _, ending = self.states[state]
+        ending = self.states[state][2]
         tokens, p = [], len(ending)
         while p > 0:
             tokens.append(self.ranks[ending[p - 1]])
@@ -141,7 +170,7 @@ class _Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         ids = np.asarray(self.transducer.encode(piece.encode()), np.int32).tobytes()
-        if len(self) >= MEMO_ENTRIES:
+        if len(self) >= 2 * MEMO_ENTRIES:
             self.clear()
         if len(piece) <= 64:
             self[piece] = ids
@@ -167,7 +196,7 @@ class Tokenizer:
         machine = Utf8Machine()
         ids = iter(ids)
         get = self.bytes_of.__getitem__
-        while block := [i for _, i in zip(range(4096), ids)]:
+        while block := list(islice(ids, 4096)):
             yield machine.feed(b"".join(map(get, block)))
         yield machine.close()
 
