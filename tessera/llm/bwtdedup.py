@@ -33,39 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import cut, discard, free_name, id_marks, marked, texts_of
-from tessera.llm.triejoin import mix
+from tessera.llm.common import batches_of, cut, discard, free_name, id_marks, marked
+from tessera.llm.hashing import Rolling, mix
 
 GRAM = 20
 SHARD = 100_000
 #: Documents in the sample that finds hot anchors, contexts there that make an anchor hot, hot anchors at most, and parts each is dealt to.
 SAMPLE, HOT, HOTTEST, PARTS = 20_000, 200, 16_384, 64
-_TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019), 5)
-_BASE = 0xD6E8FEB86659FD93
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        with np.errstate(over="ignore"):
-            have = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 1 << 16), np.uint64(base))]), dtype=np.uint64)
-        _POWERS[base] = have
-    return have[:n]
-
-
-class Rolling:
-    """Hashes of any substrings of some bytes, from sums of powers modulo 2**64."""
-
-    def __init__(self, data: np.ndarray):
-        with np.errstate(over="ignore"):
-            self.sums = np.concatenate([[np.uint64(0)], np.cumsum(_TABLE[data] * _powers(_BASE, len(data)), dtype=np.uint64)])
-        self.back = _powers(_INVERSE, len(data) + 1)
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix((self.sums[end] - self.sums[start]) * self.back[start], 1)
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, length: int):
@@ -104,29 +78,6 @@ def pack(sub: np.ndarray, first: np.ndarray, windows: np.ndarray, offset: np.nda
     return ((sub << 31 | first) << 7 | (windows - 1)) << 7 | offset
 
 
-def batches_of(batches: Iterator[pa.RecordBatch], columns: list[str], most: int = 4 << 20):
-    """(columns as lists, bytes of the texts, starts) in pieces of about ``most`` bytes."""
-    held: list[list] = [[] for _ in columns]
-    raw: list[bytes] = []
-    size = 0
-
-    def out():
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        return [*held], data, np.cumsum([0] + [len(r) for r in raw])
-
-    for batch in batches:
-        for values in zip(*[batch.column(c).to_pylist() for c in columns], texts_of(batch, "text"), strict=True):
-            for h, v in zip(held, values, strict=False):
-                h.append(v)
-            raw.append(values[-1].encode())
-            size += len(raw[-1])
-            if size >= most:
-                yield out()
-                held, raw, size = [[] for _ in columns], [], 0
-    if raw:
-        yield out()
-
-
 def sub_of(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(data[a:b]) >> 46 for a, b in zip(starts[:-1], starts[1:], strict=True)], np.int64)
 
@@ -237,6 +188,8 @@ def spans(documents: DataFrame, id_col: str = "doc_id", text: str = "text", leng
 
         def settle():
             h, c, doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            if not len(h):
+                return
             order, new, lead = first_of(c, doc, place)
             h, c, doc, place = h[order].view(np.int64), c[order].view(np.int64), doc[order], place[order]
             later = (doc > doc[lead]) | (place >> 14 > place[lead] >> 14)

@@ -69,6 +69,29 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def batches_of(batches: Iterator[pa.RecordBatch], columns: list[str], most: int = 4 << 20):
+    """(columns as lists, bytes of the texts, starts) in pieces of about ``most`` bytes."""
+    held: list[list] = [[] for _ in columns]
+    raw: list[bytes] = []
+    size = 0
+
+    def out():
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        return [*held], data, np.cumsum([0] + [len(r) for r in raw])
+
+    for batch in batches:
+        for values in zip(*[batch.column(c).to_pylist() for c in columns], texts_of(batch, "text"), strict=True):
+            for h, v in zip(held, values, strict=False):
+                h.append(v)
+            raw.append(values[-1].encode())
+            size += len(raw[-1])
+            if size >= most:
+                yield out()
+                held, raw, size = [[] for _ in columns], [], 0
+    if raw:
+        yield out()
+
+
 #: Bits of the map that ``id_marks`` makes: 2 MB, whatever the input.
 MARK_BITS = 24
 
