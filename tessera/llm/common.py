@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,18 @@ def discard(*tables: DataFrame) -> None:
             hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """Fewer rows in an Arrow batch while a step runs: long texts would else stand in memory several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def slices(batch: pa.RecordBatch, rows: int = 256):
     """Small pieces of an Arrow batch, so that long texts bound the memory of what is derived from them."""
     for at in range(0, batch.num_rows, rows):
