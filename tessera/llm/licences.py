@@ -1,7 +1,10 @@
 """Licence scan by sentence rules: sentences become identifiers, identifier sequences match ordered rules.
 
 A text is split at line breaks and where a sentence ends; each sentence is normalised (lower case,
-letters and digits, single blanks) and looked up among known licence sentences. What is known, in
+letters and digits, single blanks) and looked up among known licence sentences, which may run over
+``;`` and ``:``. Known are notices of Apache-2.0, BSD-2-Clause, BSD-3-Clause, CC-BY-4.0, CC-BY-NC-4.0,
+CC-BY-SA-4.0, CC0-1.0, GPL-2.0, GPL-3.0(-or-later), MIT and "all rights reserved"; others (LGPL, AGPL,
+MPL, ISC, Unlicense ...) are not found. What is known, in
 order, is the text's identifier sequence; a rule is a run of identifiers, and it matches where the
 sequence holds that run. A rule within a longer matching rule does not count. Built-in expressions
 only, so a scan is one pass without a shuffle.
@@ -76,6 +79,13 @@ RULES = [
 #: Every known sentence holds one of these, so a text without any is not split.
 MARKERS = ("licen", "permi", "redistribut", "warrant", "cc", "reserved")
 SPLIT = r"[\n\r]+|[.!?;:]+(\s+|$)"
+#: Where ``;`` or ``:`` ends a part of a sentence, and where a sentence ends; they become the marks below.
+JOINT, END = r"(?<![.!?;:])[;:]++(?:\s++|$)", r"[\n\r]+|(?<![.!?;:])[.!?;:]++(?:\s++|$)"
+MARKS = "\x01\x02"
+#: A known sentence begins and ends at any mark; between its words may be joints (the second mark), but no end.
+KNOWN = (
+    r"(?<=[\x01\x02] ?)(?:" + "|".join(s.replace(" ", r"[ \x02]+") for s in sorted({s for forms in SENTENCES.values() for s in forms}, key=lambda s: (-len(s), s))) + r")(?= ?[\x01\x02])"
+)
 
 
 def _run(identifiers: list[str]) -> str:
@@ -87,8 +97,12 @@ def rule_tests(rules: list[tuple[str, list[str]]] = RULES) -> list[tuple[str, st
     return [(name, _run(ids), [_run(o) for _, o in rules if len(o) > len(ids) and _run(ids) in _run(o)]) for name, ids in rules]
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+def sentences_of(text: Column) -> Column:
+    """The known sentences of a text in order, normalised; where two overlap the first, then the longest."""
+    plain = F.lower(F.translate(text, MARKS, " " * len(MARKS)))
+    parted = F.regexp_replace(F.regexp_replace(plain, JOINT, "\x02"), END, "\x01")
+    words = F.concat(F.lit("\x01"), F.regexp_replace(parted, r"[^a-z0-9\x01\x02]+", " "), F.lit("\x01"))
+    return F.transform(F.regexp_extract_all(words, F.lit(KNOWN), F.lit(0)), lambda s: F.regexp_replace(s, r"[ \x02]+", " "))
 
 
 def scan(df: DataFrame, text: str = "text", sentences: str = "licence_sentences", licences: str = "licences") -> DataFrame:
@@ -99,7 +113,7 @@ def scan(df: DataFrame, text: str = "text", sentences: str = "licence_sentences"
     """
     raw = F.col(f"`{text}`").cast("string")
     table = F.create_map(*[F.lit(x) for i, forms in SENTENCES.items() for s in forms for x in (s, i)])
-    found = F.filter(F.transform(F.split(raw, SPLIT), lambda s: F.try_element_at(table, normalised(s))), lambda i: i.isNotNull())
+    found = F.transform(sentences_of(raw), lambda s: F.try_element_at(table, s))
     some = reduce(lambda a, b: a | b, [F.lower(raw).contains(m) for m in MARKERS])
     ids = F.coalesce(F.when(some, found), F.array().cast("array<string>"))
     out = df.withColumn(sentences, ids)
@@ -109,7 +123,7 @@ def scan(df: DataFrame, text: str = "text", sentences: str = "licence_sentences"
 
 
 def sql(table: str = "documents") -> str:
-    """The scan in DuckDB's SQL: doc_id, n_sentences, sentence_ids and licences (joined by commas)."""
+    """The scan in DuckDB's SQL: doc_id, n_sentences, sentence_ids and licences (joined by commas); it doesn't join a sentence's parts over ``;`` and ``:``."""
     known = ", ".join(f"'{s}': '{i}'" for i, forms in SENTENCES.items() for s in forms)
     tests = ", ".join(f"CASE WHEN contains(run, '{own}')" + "".join(f" AND NOT contains(run, '{x}')" for x in longer) + f" THEN '{name}' END" for name, own, longer in rule_tests())
     return f"""
