@@ -1,8 +1,9 @@
 """Licence scan by sentence rules: sentences become identifiers, identifier sequences match ordered rules.
 
-A text is split at line breaks and where a sentence ends; each sentence is normalised (lower case,
-letters and digits, single blanks) and looked up among known licence sentences, which may run over
-``;`` and ``:``. Known are notices of Apache-2.0, BSD-2-Clause, BSD-3-Clause, CC-BY-4.0, CC-BY-NC-4.0,
+A text is split where a sentence ends, at lines without a word and at line breaks; each sentence is
+normalised (lower case, letters and digits, single blanks) and looked up among known licence
+sentences, which may run over ``;``, ``:`` and single line breaks, so wrapped ones and ones in
+comments count. Known are notices of Apache-2.0, BSD-2-Clause, BSD-3-Clause, CC-BY-4.0, CC-BY-NC-4.0,
 CC-BY-SA-4.0, CC0-1.0, GPL-2.0, GPL-3.0(-or-later), MIT and "all rights reserved"; others (LGPL, AGPL,
 MPL, ISC, Unlicense ...) are not found. What is known, in
 order, is the text's identifier sequence; a rule is a run of identifiers, and it matches where the
@@ -79,8 +80,8 @@ RULES = [
 #: Every known sentence holds one of these, so a text without any is not split.
 MARKERS = ("licen", "permi", "redistribut", "warrant", "cc", "reserved")
 SPLIT = r"[\n\r]+|[.!?;:]+(\s+|$)"
-#: Where ``;`` or ``:`` ends a part of a sentence, and where a sentence ends; they become the marks below.
-JOINT, END = r"(?<![.!?;:])[;:]++(?:\s++|$)", r"[\n\r]+|(?<![.!?;:])[.!?;:]++(?:\s++|$)"
+#: Lines without a word, where ``;`` or ``:`` ends a part of a sentence, and where a sentence ends; they and single line breaks become the marks below.
+BLANK, JOINT, END = r"\n[^a-z0-9]*\n", r"(?<![.!?;:])[;:]++(?:\s++|$)", r"(?<![.!?;:])[.!?;:]++(?:\s++|$)"
 MARKS = "\x01\x02"
 #: A known sentence begins and ends at any mark; between its words may be joints (the second mark), but no end.
 KNOWN = (
@@ -100,7 +101,9 @@ def rule_tests(rules: list[tuple[str, list[str]]] = RULES) -> list[tuple[str, st
 def sentences_of(text: Column) -> Column:
     """The known sentences of a text in order, normalised; where two overlap the first, then the longest."""
     plain = F.lower(F.translate(text, MARKS, " " * len(MARKS)))
-    parted = F.regexp_replace(F.regexp_replace(plain, JOINT, "\x02"), END, "\x01")
+    parted = F.regexp_replace(plain, r"\r\n?", "\n")
+    for pattern, mark in ((BLANK, "\x01"), (JOINT, "\x02"), (END, "\x01"), (r"\n", "\x02")):
+        parted = F.regexp_replace(parted, pattern, mark)
     words = F.concat(F.lit("\x01"), F.regexp_replace(parted, r"[^a-z0-9\x01\x02]+", " "), F.lit("\x01"))
     return F.transform(F.regexp_extract_all(words, F.lit(KNOWN), F.lit(0)), lambda s: F.regexp_replace(s, r"[ \x02]+", " "))
 
@@ -123,7 +126,7 @@ def scan(df: DataFrame, text: str = "text", sentences: str = "licence_sentences"
 
 
 def sql(table: str = "documents") -> str:
-    """The scan in DuckDB's SQL: doc_id, n_sentences, sentence_ids and licences (joined by commas); it doesn't join a sentence's parts over ``;`` and ``:``."""
+    """The scan in DuckDB's SQL: doc_id, n_sentences, sentence_ids and licences (joined by commas); it doesn't join a sentence's parts over ``;``, ``:`` and line breaks."""
     known = ", ".join(f"'{s}': '{i}'" for i, forms in SENTENCES.items() for s in forms)
     tests = ", ".join(f"CASE WHEN contains(run, '{own}')" + "".join(f" AND NOT contains(run, '{x}')" for x in longer) + f" THEN '{name}' END" for name, own, longer in rule_tests())
     return f"""

@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 import numpy as np
 import pytest
@@ -64,6 +65,18 @@ def test_each_notice_matches_its_rule(spark):
     assert licences_of(spark, ["All. Rights reserved. All rights\n\nreserved", "x: MIT License; y"]) == [[], ["MIT"]]
 
 
+def test_wrapped_notices_match_their_rules(spark):
+    def wrapped(notice, first, width, end):
+        return (end + first.rstrip() + end).join(end.join(textwrap.wrap(p, width, initial_indent=first, subsequent_indent=first)) for p in notice)
+
+    for first, width, end in (("", 70, "\n"), (" * ", 76, "\n"), ("# ", 80, "\r\n"), ("// ", 40, "\r")):
+        assert licences_of(spark, [wrapped(n, first, width, end) for n in NOTICES.values()]) == [[k] for k in NOTICES]
+    apache = spark.createDataFrame([(1, wrapped(APACHE, "// ", 72, "\n"))], "doc_id long, text string")
+    assert licences.scan(apache).first().licence_sentences == ["apache_notice", "apache_comply", "apache_copy", "apache_as_is"]
+    # a line of its own counts beside other lines; a sentence doesn't run over a blank line
+    assert licences_of(spark, ["words\nMIT License\nmore words", "all\nrights\nreserved", "all rights\n\nreserved", "all rights\n#\n# reserved"]) == [["MIT"], ["proprietary"], [], []]
+
+
 def test_wand_equals_scoring_every_unit():
     rng = random.Random(3)
     words = [f"w{i}" for i in range(60)]
