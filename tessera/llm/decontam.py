@@ -39,6 +39,12 @@ def parts_of(text: str) -> tuple[list[str], list[str]]:
     return (words_of(text[: m.start()]), words_of(text[m.end() :])) if m else (words_of(text), [])
 
 
+def gram_size(part: list[str], question: list[str], gram: int) -> int:
+    """Words of the grams that verify a part alone; 0 if it has none, as an answer that is shorter than the question's grams."""
+    n = min(gram, len(part))
+    return n if n >= min(gram, len(question)) else 0
+
+
 @dataclass
 class Index:
     """Units of items (of question and answer, runs of at most ``unit`` words) in order of size; postings by term with impacts relative to a unit's own score.
@@ -59,12 +65,13 @@ class Index:
     slices: dict[int, tuple[list[int], list[float], float]] = field(default_factory=dict)
 
     @staticmethod
-    def build(items: list[tuple[int, str]], unit: int = 48, k1: float = 1.2, b: float = 0.75) -> Index:
-        """Impacts are BM25's: idf times the saturated, length-normed count."""
+    def build(items: list[tuple[int, str]], unit: int = 48, k1: float = 1.2, b: float = 0.75, gram: int = 5) -> Index:
+        """Impacts are BM25's: idf times the saturated, length-normed count. Each part that can be verified alone has units of its own; short ones are also indexed together."""
         index = Index([i for i, _ in items], [parts_of(t) for _, t in items])
         units = []
         for k, (q, a) in enumerate(index.parts):
-            for words in [q, a] if min(len(q), len(a)) >= 8 else [q + a]:
+            alone = [part for part in (q, a) if gram_size(part, q, gram)]
+            for words in alone if min(len(q), len(a)) >= 8 or not a else [*alone, q + a]:
                 n = max(1, -(-len(words) // unit))
                 units += [(words[len(words) * j // n : len(words) * (j + 1) // n], k) for j in range(n)]
         units.sort(key=lambda u: len(u[0]))
@@ -133,8 +140,8 @@ class Index:
     def verify(self, words: list[str], item: int, overlap: float, gram: int) -> bool:
         """Whether the words hold ``overlap`` of the grams of the item's question or, where that has a gram, of its answer."""
         for part in self.parts[item]:
-            n = min(gram, len(part))
-            if n < min(gram, len(self.parts[item][0])) or not n:
+            n = gram_size(part, self.parts[item][0], gram)
+            if not n:
                 continue
             grams = {tuple(part[i : i + n]) for i in range(len(part) - n + 1)}
             if len(grams & {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}) >= overlap * len(grams):
@@ -188,7 +195,7 @@ def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text:
     if rows.num_rows > MOST_ITEMS:
         raise ValueError(f"more than {MOST_ITEMS} test items")
     listed = sorted((i, t) for i, t in zip(rows["i"].to_pylist(), rows["t"].to_pylist(), strict=True) if words_of(t))
-    index = Index.build(listed)
+    index = Index.build(listed, gram=gram)
     sent = documents.sparkSession.sparkContext.broadcast(index)
     kept = [c for c in documents.columns if c.lower() != output.lower()]
     source = documents.select(*[F.col(f"`{c}`") for c in kept])

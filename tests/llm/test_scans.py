@@ -109,6 +109,40 @@ def test_query_finds_exactly_the_documents_that_hold_items(spark):
                 assert any(" ".join(w[j : j + 5]) in docs[r.doc_id] for j in range(len(w)))
 
 
+def verified(index, text, share=0.5, gram=5):
+    """Items whose question or answer the whole text holds by half of its grams, without an index."""
+    words, out = decontam.words_of(text or ""), set()
+    for k, (q, a) in enumerate(index.parts):
+        for part in (q, a):
+            n = min(gram, len(part))
+            grams = {tuple(part[i : i + n]) for i in range(len(part) - n + 1)} if n and n >= min(gram, len(q)) else set()
+            if grams and len(grams & {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}) >= share * len(grams):
+                out.add(k)
+    return out
+
+
+def test_each_part_is_found_alone():
+    parts = [(5, 20), (6, 11), (7, 32), (9, 5), (30, 6), (12, 7), (2, 9), (20, 3), (10, 0), (60, 70)]
+    items = [(i, " ".join(f"q{i}w{j}" for j in range(q)) + ("\nanswer: " + " ".join(f"a{i}w{j}" for j in range(a)) if a else "")) for i, (q, a) in enumerate(parts)]
+    index = decontam.Index.build(items)
+    fill = [f"filler{i}" for i in range(70)]
+    for k, (q, a) in enumerate(index.parts):
+        for part in (q, a):
+            for before in (0, 13, 24, 31):
+                text = " ".join(fill[:before] + part + fill)
+                got = {i for i, _, _ in decontam.search(index, text, 64, 0.5, 0.5, 5)}
+                assert got == verified(index, text) == ({k} if part and (part is q or len(a) >= min(5, len(q))) else set())
+
+
+def test_query_equals_verifying_every_item(spark):
+    from tessera.llm.queries import op5_decontamination
+
+    items = sorted((r.item_id, r.text) for r in spark.read.parquet(f"{SF01}/benchmark.parquet").collect())
+    index = decontam.Index.build(items)
+    want = {r.doc_id: sorted(index.ids[k] for k in verified(index, r.text)) for r in spark.read.parquet(f"{SF01}/documents.parquet").collect()}
+    assert {r.doc_id: r.item_ids for r in op5_decontamination(spark, SF01).collect()} == want
+
+
 def test_decontamination_edge_rows(spark):
     item = "which of these seven quiet rivers runs north past the old mill\nanswer: the long grey river under the bridge of stones"
     fill = " ".join(f"filler{i % 97} word{i % 89}" for i in range(30_000))
