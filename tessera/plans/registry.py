@@ -547,6 +547,13 @@ def _(v):
     return G.neighbourhood(v("edges"), starts, 2)
 
 
+@query("G2_neighbourhood_all", """
+WITH b AS (SELECT src AS x, dst AS y FROM edges UNION SELECT dst, src FROM edges), s AS (SELECT concat('o', o_orderkey) AS n FROM orders), r1 AS (SELECT n AS start, n AS node FROM s UNION SELECT n, y FROM s JOIN b ON x = n),
+r2 AS (SELECT * FROM r1 UNION SELECT start, y FROM r1 JOIN b ON x = node) SELECT DISTINCT p.start, e.src, e.rel, e.dst FROM edges e JOIN r2 p ON p.node = e.src JOIN r2 q ON q.node = e.dst AND q.start = p.start""")
+def _(v):
+    return G.neighbourhood(v("edges"), v("orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node")), 2)
+
+
 @query("G12_closure", """
 WITH RECURSIVE h AS (SELECT * FROM edges WHERE rel IN ('located_in', 'part_of')), c AS (SELECT src AS sub, dst AS sup, 1 AS depth FROM h UNION SELECT c.sub, h.dst, c.depth + 1 FROM c JOIN h ON h.src = c.sup WHERE c.depth < 5) SELECT sub, sup, min(depth)::INTEGER AS depth FROM c GROUP BY ALL""")
 def _(v):
@@ -573,7 +580,7 @@ def _(v):
 
 @query("G4_greedy_context")
 def _(v):
-    starts = v("customer").where("c_custkey % 100 = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
+    starts = v("customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
     ic = G.edge_ic(v("edges"))
     return G.greedy_context(G.neighbourhood(v("edges"), starts, 1).join(ic, ["src", "rel", "dst"]).withColumn("cost", F.lit(3)), 12)
 
@@ -584,6 +591,12 @@ def _(v):
     return T.ranking_rows(raw.withColumn("c", T.parse_candidates("cands"))).select("src", "tgt", "score", "rank")
 
 
+@query("S6_K2_ranking_round_trip_all", "SELECT src, tgt::VARCHAR AS tgt, score, row_number() OVER (PARTITION BY src ORDER BY score DESC, tgt::VARCHAR)::INTEGER AS rank FROM pairs", "score")
+def _(v):
+    raw = K.local_ranking(v("pairs").withColumn("gold", F.col("src").cast("string")))
+    return T.ranking_rows(raw.withColumn("c", T.parse_candidates("cands"))).select("src", "tgt", "score", "rank")
+
+
 @query("S22_first_flags", "SELECT src, arg_min(status, pos * 1000000 + tgt) AS flag, count(DISTINCT status) > 1 AS conflict FROM pairs GROUP BY src")
 def _(v):
     return P.first_flags(v("pairs").withColumn("pos", F.col("pos") * 1000000 + F.col("tgt")), F.col("status"))

@@ -18,3 +18,11 @@ def test_query_equals_its_sql(spark, name):
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_graph_and_ranking_queries_cover_every_start(spark):
+    ids = lambda table, key, mark="": {f"{mark}{r[0]}" for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).distinct().collect()}
+    starts = lambda name, key: {str(r[0]) for r in registry.QUERIES[name](spark, SF).select(key).distinct().collect()}
+    assert starts("G2_neighbourhood_all", "start") == ids("orders", "o_orderkey", "o")
+    assert starts("G4_greedy_context", "start") == ids("customer", "c_custkey", "c")
+    assert starts("S6_K2_ranking_round_trip_all", "src") == ids("lineitem", "l_orderkey")
