@@ -622,6 +622,11 @@ def _(v):
     return K.histogram(v("pairs").where("cast(round(s_diff * 100) as int) % 10 = 5"), "s_diff", 0.0, 1.0, 10)
 
 
+@query("K16_histogram_all", "SELECT least(10, (s_diff * 100)::INTEGER // 10 + 1)::BIGINT AS bin, count(*) AS n FROM pairs WHERE s_diff IS NOT NULL GROUP BY 1")
+def _(v):
+    return K.histogram(v("pairs"), "s_diff", 0.0, 1.0, 10)
+
+
 @query("T6_W9_shortlist", """
 WITH k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, tgt) AS r FROM pairs), g AS (SELECT src, min(r)::INTEGER AS gold_rank, max(score) AS top FROM k GROUP BY src HAVING min(r) FILTER (label = 1) = min(r)),
 p AS (SELECT src, (min(r) FILTER (label = 1))::INTEGER AS gold_rank, max(score) AS top FROM k GROUP BY src), o AS (SELECT *, row_number() OVER (PARTITION BY gold_rank ORDER BY top DESC, src)::INTEGER AS panel_rank FROM p WHERE gold_rank BETWEEN 1 AND 3)

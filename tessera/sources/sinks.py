@@ -70,8 +70,9 @@ def absent_gold(refs: DataFrame, cands: DataFrame) -> DataFrame:
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
-    """Plot data: rows in each of ``bins`` equal bins of [low, high]; outside ones in bin 0 and bins + 1."""
-    return df.where(F.col(value).isNotNull()).groupBy(F.expr(f"width_bucket({value}, {low}D, {high}D, {bins})").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    """Plot data: rows in each of ``bins`` equal bins of [low, high]; a value between two bins is in the upper one, ``high`` in the last; outside ones in bin 0 and bins + 1."""
+    place = F.expr(f"CASE WHEN {value} = {high}D THEN {bins}L ELSE width_bucket({value}, {low}D, {high}D, {bins}) END")
+    return df.where(F.col(value).isNotNull()).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def numbered(df: DataFrame, by: str) -> DataFrame:

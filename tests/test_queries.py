@@ -26,3 +26,12 @@ def test_graph_and_ranking_queries_cover_every_start(spark):
     assert starts("G2_neighbourhood_all", "start") == ids("orders", "o_orderkey", "o")
     assert starts("G4_greedy_context", "start") == ids("customer", "c_custkey", "c")
     assert starts("S6_K2_ranking_round_trip_all", "src") == ids("lineitem", "l_orderkey")
+
+
+def test_histogram_counts_every_pair_and_the_edges(spark):
+    from tessera.sources import sinks
+
+    got = registry.QUERIES["K16_histogram_all"](spark, SF).collect()
+    assert sum(r.n for r in got) == registry.view(spark, SF, "pairs").count() and {r.bin for r in got} <= set(range(1, 11))
+    values = spark.createDataFrame([(i / 10,) for i in range(11)] + [(-0.1,), (1.01,), (None,)], "x double")
+    assert {r.bin: r.n for r in sinks.histogram(values, "x", 0.0, 1.0, 10).collect()} == {0: 1, **{b: 1 for b in range(1, 10)}, 10: 2, 11: 1}
