@@ -145,7 +145,7 @@ def distances(edges: DataFrame, pairs: DataFrame, most: int = 4) -> DataFrame:
     return reach.join(pairs, ["start", "node"]).groupBy("start").agg(F.min_by(F.struct("d", "node"), F.struct("d", "node")).alias("x")).select("start", "x.node", "x.d")
 
 
-def _cover(rows: pd.DataFrame, start: str, budget: int, alpha: float, reuse: bool = True) -> list[tuple[str, str, str]]:
+def _cover(rows: pd.DataFrame, start: str, budget: int, alpha: float, reuse: bool = True, hops: int = 6) -> list[tuple[str, str, str]]:
     """Paths of greatest reward from the start, one after another, until the budget is spent."""
     around: dict[str, list[tuple[str, int]]] = {}
     for i, (a, b) in enumerate(zip(rows["src"], rows["dst"], strict=True)):
@@ -158,7 +158,7 @@ def _cover(rows: pd.DataFrame, start: str, budget: int, alpha: float, reuse: boo
         # states (node, spent) with the best reward; edges in use are free and give no reward again
         best: dict[tuple[str, int], tuple[float, tuple[int, ...]]] = {(start, 0): (0.0, ())}
         front, top = dict(best), (0.0, ())
-        for _ in range(6):
+        for _ in range(hops):
             after: dict[tuple[str, int], tuple[float, tuple[int, ...]]] = {}
             for (node, spent), (reward, path) in front.items():
                 for other, i in around.get(node, ()):
@@ -179,15 +179,15 @@ def _cover(rows: pd.DataFrame, start: str, budget: int, alpha: float, reuse: boo
     return [tuple(rows.iloc[i][["src", "rel", "dst"]]) for i in used]
 
 
-def greedy_context(context: DataFrame, budget: int, alpha: float = 0.1) -> DataFrame:
-    """For each start of (start, src, rel, dst, ic, cost) the edges that paths of best reward cover within a budget of cost.
+def greedy_context(context: DataFrame, budget: int, alpha: float = 0.1, hops: int = 6) -> DataFrame:
+    """For each start of (start, src, rel, dst, ic, cost) the edges that paths of best reward, of ``hops`` edges at most, cover within a budget of cost.
 
     A start's neighbourhood is bounded by its hops, so a group is one entity's.
     """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["src", "rel", "dst"]).reset_index(drop=True)
-        got = _cover(rows, key[0], budget, alpha)
+        got = _cover(rows, key[0], budget, alpha, hops=hops)
         return pd.DataFrame([(key[0], i, *e) for i, e in enumerate(got)], columns=["start", "pos", "src", "rel", "dst"])
 
     return context.groupBy("start").applyInPandas(run, "start string, pos int, src string, rel string, dst string")
