@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,11 +64,11 @@ def labels(entities: DataFrame, annotations: DataFrame, prop: str = "label") ->
     return entities.select("iri").distinct().join(own, "iri", "left").select("iri", F.coalesce("labels", F.array(F.substring_index(F.substring_index("iri", "/", -1), "#", -1))).alias("labels"))
 
 
-def closure(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(sub, sup, depth): all ancestors with the least number of steps; a cycle ends at its first return."""
+def closure(edges: DataFrame) -> DataFrame:
+    """(sub, sup, depth): all ancestors with the least number of steps, of any depth; a cycle ends at its first return."""
     step = edges.select(F.col("src").alias("sub"), F.col("dst").alias("sup")).where("sub <> sup").distinct()
     every, front = step.withColumn("depth", F.lit(1)), step.withColumn("depth", F.lit(1))
-    for depth in range(2, rounds + 1):
+    for depth in count(2):
         more = front.select("sub", F.col("sup").alias("mid")).join(step.select(F.col("sub").alias("mid"), "sup"), "mid").select("sub", "sup").where("sub <> sup").distinct()
         front = checkpointed(more.join(every.select("sub", "sup"), ["sub", "sup"], "left_anti").withColumn("depth", F.lit(depth)))
         if not front.take(1):
