@@ -10,15 +10,20 @@ Every 100-byte string that also starts earlier is marked, exactly, over all docu
    What is left are the earliest occurrences of distinct contexts, and only anchors with several
    contexts can still hide equal windows. An anchor that a sample shows to have very many contexts
    is dealt by context here and by window in the next step, so no task gets all of it.
-3. Those contexts are gathered by anchor. A task splits them into shards, makes the order of each
-   shard's suffixes in steps of a block of 50 bytes (a Burrows-Wheeler transform whose symbols are
-   blocks), and merges the shards by refining their interleaving a block at a time: a stable
-   distribution by the preceding block of what is ordered so far, which finds the shards' runs in
-   order and does not sort suffixes again. Two rounds compare 100 bytes. Where neighbours differ in
-   either block an interval ends; within one, all but the earliest window are repeated.
+3. Those contexts are gathered by anchor and read as streams in that order. Shards of them get a
+   Burrows-Wheeler transform each: for every suffix, in the shard's order, the symbol before it. A
+   symbol is a block of 25 bytes, so a text is 25 interlocked strings of blocks. Shards are merged
+   from their transforms alone: an interleave (the shard of each merged suffix) starts as the shards
+   one after the other; a round reads each shard's symbols in the interleave's order and deals the
+   shards' numbers to the symbols' buckets, which orders by one more symbol. Where a round first
+   tells neighbours apart their common prefix ends, so the rounds give the common prefixes too, and
+   no suffixes of different shards are ever compared or sorted. After four rounds, neighbours that
+   are still together share 100 bytes: such an interval's windows but the earliest are repeated.
 4. Repeated windows become byte spans of their documents.
 
-Hashes are 64 bits wide (two of them for a window).
+A task holds the anchors of about ``CHUNK`` bytes at a time. Of an anchor with more contexts than
+that it keeps, from one chunk to the next, each distinct window once.
+Blocks are compared by 64-bit hashes (four of them for a window), contexts by one.
 """
 
 from __future__ import annotations
@@ -26,20 +31,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import batches_of, cut, discard, free_name, id_marks, marked
+from tessera.llm.common import batches_of, bounded, cut, discard, free_name, id_marks, marked, small_batches
 from tessera.llm.hashing import Rolling, mix
 
 GRAM = 20
-SHARD = 100_000
-#: Documents in the sample that finds hot anchors, contexts there that make an anchor hot, hot anchors at most, and parts each is dealt to.
-SAMPLE, HOT, HOTTEST, PARTS = 20_000, 200, 16_384, 64
+#: Bytes of contexts that are merged at a time, and of a shard of them.
+CHUNK, SHARD = 1 << 16, 1 << 14
+#: Documents in the sample that finds hot anchors, contexts there that make an anchor hot, and hot anchors at most. Those beyond have less than a 65,536th of all contexts each.
+SAMPLE, HOT, HOTTEST = 20_000, 200, 65_536
+#: Occurrences that a task looks through for equal contexts, and windows of hot anchors that it looks through for equal ones, before it sends them.
+HELD, HELD_WINDOWS = 400_000, 50_000
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, length: int):
@@ -97,43 +105,87 @@ def merged_runs(doc: np.ndarray, row: np.ndarray, windows: np.ndarray, length: i
     return doc[heads], row[heads], reach[last] - row[heads]
 
 
-def interleave(shards: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Merge shards, each given as its suffixes' (first block, second block): order over the shards' concatenation, and where a repeated interval begins.
+def stable_order(codes: np.ndarray, most: int) -> np.ndarray:
+    """The stable order of numbers from 0 to ``most``, by counting 16 bits at a time."""
+    order = np.argsort((codes & 0xFFFF).astype(np.uint16), kind="stable")
+    if most > 0xFFFF:
+        order = order[np.argsort((codes >> 16)[order].astype(np.uint16), kind="stable")]
+    return order
 
-    Each shard's own transform is made first: its suffixes by second block, and by first block after that.
+
+def transform(symbols: np.ndarray, before: np.ndarray, step: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """A shard's transform and the positions of its suffixes, in order.
+
+    ``symbols`` has, for each position of the shard's texts (and one behind each), the number of the
+    block that starts there, 0 where none does; ``before`` that of the block that ends there. Suffixes
+    of equal blocks are in the order of the positions where they end.
     """
-    offset, seconds, firsts, orders = 0, [], [], []
-    for first, second in shards:
-        own = np.lexsort((second, first))
-        by_second = np.argsort(second, kind="stable")
-        orders.append((offset + own, offset + by_second))
-        firsts.append(first)
-        seconds.append(second)
-        offset += len(first)
-    first, second = np.concatenate(firsts), np.concatenate(seconds)
-    # round one: interleave the shards' runs by the last block
-    mixed = np.concatenate([o for _, o in orders])
-    mixed = mixed[np.argsort(second[mixed], kind="stable")]
-    # round two: distribute what is ordered by its preceding block, keeping the order
-    mixed = mixed[np.argsort(first[mixed], kind="stable")]
-    differs = (first[mixed[1:]] != first[mixed[:-1]]) | (second[mixed[1:]] != second[mixed[:-1]])
-    return mixed, np.concatenate([[True], differs]) if len(mixed) else np.zeros(0, bool)
-
-
-def repeated_windows(doc: np.ndarray, row: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Which windows (their documents, packed rows and positions, and block hashes) are in an interval after its earliest."""
-    shards = [(first[at : at + SHARD], second[at : at + SHARD]) for at in range(0, len(first), SHARD)]
-    if not shards:
-        return np.zeros(0, bool)
-    order, new = interleave(shards)
-    doc, row = doc[order], row[order]
-    heads = np.flatnonzero(new)
-    group = np.cumsum(new) - 1
-    least_doc = np.minimum.reduceat(doc, heads)[group]
-    least_row = np.minimum.reduceat(np.where(doc == least_doc, row, np.iinfo(np.int64).max), heads)[group]
-    out = np.zeros(len(doc), bool)
-    out[order] = (doc > least_doc) | (row > least_row)
-    return out
+    ends = np.flatnonzero(symbols == 0)
+    order = np.arange(len(symbols))
+    while True:
+        symbol = before[order]
+        live = np.flatnonzero(symbol)
+        after = np.concatenate([ends, order[live[stable_order(symbol[live], most)]] - step])
+        if (after == order).all():
+            return symbol, order
+        order = after
+
+
+def interleave(transforms: list[np.ndarray], rounds: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Merge shards from their transforms: the shard of each merged suffix, and how many symbols it shares with the one before it (-1: ``rounds`` or more).
+
+    Only the interleave is refined. Where it is ordered by the first h symbols, dealing it by the
+    symbols that stand before orders it by h + 1.
+    """
+    symbols = np.concatenate(transforms) if transforms else np.zeros(0, np.int32)
+    mixed = np.repeat(np.arange(len(transforms), dtype=np.uint16), [len(t) for t in transforms])
+    ends = np.repeat(np.arange(len(transforms), dtype=np.uint16), [int((t == 0).sum()) for t in transforms])
+    group, shared = np.zeros(len(mixed), np.int32), np.full(len(mixed), -1)
+    for depth in range(rounds):
+        symbol = np.empty(len(mixed), symbols.dtype)
+        symbol[np.argsort(mixed, kind="stable")] = symbols  # each shard's transform is read from its start
+        live = np.flatnonzero(symbol)
+        moved = live[stable_order(symbol[live], most)]
+        new = np.ones(len(mixed), bool)
+        own, was = symbol[moved], group[moved]
+        new[len(ends) + 1 :] = (own[1:] != own[:-1]) | (was[1:] != was[:-1])
+        shared[new & (shared < 0)] = depth
+        mixed, group = np.concatenate([ends, mixed[moved]]), np.cumsum(new, dtype=np.int32)
+        if new.all():
+            break
+    return mixed, shared
+
+
+def repeated_windows(texts: list[bytes], doc: np.ndarray, row: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text's windows (a text's document and packed row, and its first window's position): text numbers, positions, and whether an equal window is earlier."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    step = max(k for k in range(1, 26) if length % k == 0)
+    heads = np.cumsum(sizes + 1) - sizes - 1
+    text = np.repeat(np.arange(len(texts)), sizes + 1)
+    place = np.arange(len(text)) - heads[text]
+    raw = np.frombuffer(b"\0".join([*texts, b""]), np.uint8)
+    starts = np.flatnonzero(place + step <= sizes[text])
+    numbers, known = pd.factorize(Rolling(raw).of(starts, starts + step))
+    symbols, before = np.zeros(len(text), np.int32), np.zeros(len(text), np.int32)
+    symbols[starts] = numbers + 1
+    before[starts + step] = numbers + 1
+    cuts = heads[np.flatnonzero(np.concatenate([[True], np.diff(heads // SHARD) > 0]))].tolist() + [len(text)]
+    made = [transform(symbols[a:b], before[a:b], step, len(known)) for a, b in zip(cuts, cuts[1:])]
+    mixed, shared = interleave([t for t, _ in made], length // step, len(known))
+    at = np.empty(len(text), np.int64)
+    at[np.argsort(mixed, kind="stable")] = np.concatenate([order + a for (_, order), a in zip(made, cuts)])
+    again = np.zeros(len(text), bool)
+    several = np.flatnonzero(np.concatenate([(shared[1:] < 0), [False]]) | (shared < 0))
+    at, new = at[several], shared[several] >= 0
+    if len(at):
+        first = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        docs, rows = doc[text[at]], row[text[at]] + place[at]
+        least = np.minimum.reduceat(docs, first)[group]
+        least_row = np.minimum.reduceat(np.where(docs == least, rows, np.iinfo(np.int64).max), first)[group]
+        again[at] = (docs > least) | (rows > least_row)
+    whole = np.flatnonzero(place + length <= sizes[text])
+    return text[whole], place[whole], again[whole]
 
 
 def spans(documents: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 100) -> DataFrame:
@@ -143,21 +195,29 @@ def spans(documents: DataFrame, id_col: str = "doc_id", text: str = "text", leng
     then (for rows that repeat an id) the smaller ``sub``, then the earlier start; a row repeated as a
     whole counts once. Null texts are empty. Rows with a null id take no part. ``length`` is 40 to 127.
     """
+    spark = documents.sparkSession
+    with small_batches(spark):
+        return _spans(documents, id_col, text, length)
+
+
+def _spans(documents: DataFrame, id_col: str, text: str, length: int) -> DataFrame:
     spark = documents.sparkSession
     docs = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    block = length // 2
-    rows = docs.select("id").count()
+    rows, total = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     rate = min(1.0, SAMPLE / max(1, rows))
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (64 << 20) + 1)
 
     def occurrences(batches: Iterator[pa.RecordBatch]):
-        for (ids,), data, starts in batches_of(batches, ["id"]):
+        for (ids,), data, starts in batches_of(batches, ["id"], 1 << 20):
             h, c, d, first, windows, offset = anchors(data, starts, length)
             yield h, c, np.array(ids, np.int64)[d], pack(sub_of(data, starts)[d], first, windows, offset)
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, c, _, _ in occurrences(batches):
-            pairs = np.unique(np.stack([h, c], 1), axis=0)
-            items, counts = np.unique(pairs[:, 0], return_counts=True)
+            order = np.lexsort((c, h))
+            h, c = h[order], c[order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])[: len(h)]
+            items, counts = np.unique(h[new], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(items[counts > 1].view(np.int64)), pa.array(counts[counts > 1])], names=["h", "n"])
 
     chosen = docs.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < rate * 1_000_003)
@@ -168,128 +228,168 @@ def spans(documents: DataFrame, id_col: str = "doc_id", text: str = "text", leng
         known = hot_anchors.value
         return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
 
-    def first_of(c, doc, place):
-        """Order by context, then document and place; the earliest of each context; and each one's earliest."""
-        order = np.lexsort((place, doc, c))
-        new = np.concatenate([[True], c[order][1:] != c[order][:-1]])
-        return order, new, np.flatnonzero(new)[np.cumsum(new) - 1]
-
     def later_rows(doc, place):
         """Occurrences that are repeated as a whole, as rows of spans."""
         d, r, n = merged_runs(doc, place >> 14, (place >> 7 & 127) + 1, length)
         return [pa.array(d), pa.array(r), pa.array(n)]
 
+    def dealt(k: int) -> pa.Array:
+        """Keys that deal spans evenly."""
+        return pa.array(np.random.default_rng(1).integers(-(1 << 62), 1 << 62, k))
+
     NAMES = ["h", "salt", "c", "doc", "place", "row", "bytes"]
     kinds = "h long, salt int, c long, doc long, place long, row long, bytes long"
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Occurrences, the earliest of each context in the task; the others at once as spans."""
+        """Occurrences, the earliest of each context among those held; the others at once as spans."""
         held, size = [], 0
 
         def settle():
             h, c, doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
             if not len(h):
                 return
-            order, new, lead = first_of(c, doc, place)
+            order = np.lexsort((place, doc, c))
             h, c, doc, place = h[order].view(np.int64), c[order].view(np.int64), doc[order], place[order]
+            new = np.concatenate([[True], c[1:] != c[:-1]])
+            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
             later = (doc > doc[lead]) | (place >> 14 > place[lead] >> 14)
-            salt = np.where(is_hot(h[new]), (c[new].view(np.uint64) % np.uint64(PARTS)).astype(np.int32), np.int32(-1))
+            salt = np.where(is_hot(h[new]), c[new] & 0x3FFFFFFF, -1).astype(np.int32)
             k = int(new.sum())
             yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(salt, pa.int32()), pa.array(c[new]), pa.array(doc[new]), pa.array(place[new]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=NAMES)
             spare = later_rows(doc[later], place[later])
             k = len(spare[0])
-            mix_up = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, k)  # spans are dealt evenly
-            yield pa.RecordBatch.from_arrays([pa.array(mix_up), pa.array(np.full(k, -2), pa.int32()), pa.nulls(k, pa.int64()), spare[0], pa.nulls(k, pa.int64()), *spare[1:]], names=NAMES)
+            yield pa.RecordBatch.from_arrays([dealt(k), pa.array(np.full(k, -2), pa.int32()), pa.nulls(k, pa.int64()), spare[0], pa.nulls(k, pa.int64()), *spare[1:]], names=NAMES)
 
         for part in occurrences(batches):
             held.append(part)
             size += len(part[0])
-            if size > 1_500_000:
+            if size > HELD:
                 yield from settle()
                 held, size = [], 0
         if held:
             yield from settle()
 
     def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """By anchor: spans of repeated contexts, and the earliest of each context where an anchor has several."""
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        table = pa.Table.from_batches(got)
-        done = table.filter(pa.compute.is_valid(table["row"]))
-        table = table.filter(pa.compute.is_null(table["row"]))
-        if done.num_rows:
-            yield from done.select(["h", "salt", "doc", "place", "row", "bytes"]).to_batches()
-        h, salt, c, doc, place = (table[x].to_numpy() for x in ("h", "salt", "c", "doc", "place"))
-        if not len(h):
-            return
-        order, new, lead = first_of(c, doc, place)
-        h, salt, doc, place = h[order], salt[order], doc[order], place[order]
-        later = (doc > doc[lead]) | (place >> 14 > place[lead] >> 14)
-        spare = later_rows(doc[later], place[later])
-        k = len(spare[0])
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), spare[0], pa.nulls(k, pa.int64()), *spare[1:]], names=["h", "salt", "doc", "place", "row", "bytes"])
-        h, salt, doc, place = h[new], salt[new], doc[new], place[new]
-        _, at, counts = np.unique(h, return_inverse=True, return_counts=True)
-        keep = (counts[at] > 1) | (salt >= 0)
-        k = int(keep.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(salt[keep], pa.int32()), pa.array(doc[keep]), pa.array(place[keep]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=["h", "salt", "doc", "place", "row", "bytes"])
-
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    first = docs.mapInArrow(found, kinds).repartition(partitions, "h", "salt").mapInArrow(resolved, "h long, salt int, doc long, place long, row long, bytes long")
+        """From a stream by anchor and context: spans of repeated contexts, and the earliest of each context where an anchor has several.
+
+        What is carried to the next batch are an anchor's first and latest context; the first is sent when a second one comes.
+        """
+        names = ["h", "salt", "doc", "place", "row", "bytes"]
+        carried = tuple(np.zeros(0, np.int64) for _ in range(5))
+        sent = np.zeros(0, bool)
+        for batch in batches:
+            done = batch.filter(batch.column("row").is_valid())
+            if done.num_rows:
+                yield done.select(names)
+            batch = batch.filter(batch.column("row").is_null())
+            if not batch.num_rows:
+                continue
+            h, salt, c, doc, place = (np.concatenate([old, batch.column(x).to_numpy(zero_copy_only=False).astype(np.int64)]) for old, x in zip(carried, ("h", "salt", "c", "doc", "place"), strict=True))
+            old = np.concatenate([sent, np.zeros(batch.num_rows, bool)])
+            anchor = np.concatenate([[True], (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])])
+            new = anchor | np.concatenate([[True], c[1:] != c[:-1]])
+            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+            later = (doc > doc[lead]) | (place >> 14 > place[lead] >> 14)
+            spare = later_rows(doc[later], place[later])
+            k = len(spare[0])
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), spare[0], pa.nulls(k, pa.int64()), *spare[1:]], names=names)
+            of = np.cumsum(anchor) - 1
+            keep = new & ~old & ((np.bincount(of, new)[of] > 1) | (salt >= 0))
+            k = int(keep.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(salt[keep].astype(np.int32)), pa.array(doc[keep]), pa.array(place[keep]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=names)
+            last = np.unique([np.flatnonzero(anchor)[-1], lead[-1]])
+            carried, sent = tuple(x[last] for x in (h, salt, c, doc, place)), (old | keep)[last]
+
+    first = docs.mapInArrow(found, kinds).repartition(partitions, "h", "salt").sortWithinPartitions("h", "salt", "c", "doc", "place").mapInArrow(resolved, "h long, salt int, doc long, place long, row long, bytes long")
     first = cut(first, "bwt-contexts")
     asked = first.where("place IS NOT NULL").groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("place", "h", "salt")).alias("asked"))
     marks = id_marks(first.where("place IS NOT NULL").select(F.col("doc").alias("id")))
     near = marked(docs, "id", marks, True)
+    CONTEXTS = ["h", "salt", "doc", "row", "bytes", "context"]
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The bytes of the contexts that were asked for; of hot anchors a row for each window, dealt by its bytes."""
-        for (asked,), data, starts in batches_of(batches, ["asked"]):
+        """The bytes of the contexts that were asked for; of hot anchors a row for each window, dealt by its bytes, equal ones among those held once."""
+        windows: dict[bytes, tuple[int, int, int]] = {}
+        again: list[tuple[int, int]] = []
+
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], names=CONTEXTS)
+
+        def settle():
+            yield table([(h, xxhash.xxh3_64_intdigest(w) & 0x3FFFFFFF, doc, row, None, w) for w, (doc, row, h) in windows.items()])
+            d, r, n = merged_runs(np.array([a for a, _ in again], np.int64), np.array([b for _, b in again], np.int64), np.ones(len(again), np.int64), length)
+            k = len(d)
+            yield pa.RecordBatch.from_arrays([dealt(k), pa.array(np.full(k, -2), pa.int32()), pa.array(d), pa.array(r), pa.array(n), pa.nulls(k, pa.binary())], names=CONTEXTS)
+            windows.clear(), again.clear()
+
+        for (asked,), data, starts in batches_of(batches, ["asked"], 1 << 20):
             sub = sub_of(data, starts)
-            keys, salts, docs_, rows_, parts = [], [], [], [], []
+            rows = []
             for k, wanted in enumerate(asked):
                 raw = data[starts[k] : starts[k + 1]].tobytes()
                 for w in wanted:
-                    row, windows = w["place"] >> 14, (w["place"] >> 7 & 127) + 1
+                    row, count = w["place"] >> 14, (w["place"] >> 7 & 127) + 1
                     if row >> 31 != sub[k]:
                         continue  # of another row with this id
                     at = row & (1 << 31) - 1
                     if w["salt"] < 0:
-                        keys.append(w["h"]), salts.append(-1), docs_.append(w["id"]), rows_.append(row), parts.append(raw[at : at + windows + length - 1])
-                    else:
-                        for p in range(windows):
-                            string = raw[at + p : at + p + length]
-                            keys.append(w["h"]), salts.append(xxhash.xxh3_64_intdigest(string) % PARTS), docs_.append(w["id"]), rows_.append(row + p), parts.append(string)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(salts, pa.int32()), pa.array(docs_, pa.int64()), pa.array(rows_, pa.int64()), pa.array(parts, pa.binary())], names=["h", "salt", "doc", "row", "context"])
+                        rows.append((w["h"], -1, w["id"], row, None, raw[at : at + count + length - 1]))
+                        continue
+                    for p in range(count):
+                        own, string = (w["id"], row + p, w["h"]), raw[at + p : at + p + length]
+                        had = windows.get(string)
+                        if had is None or own[:2] < had[:2]:
+                            windows[string], own = own, had
+                        if own is not None and own[:2] != windows[string][:2]:
+                            again.append(own[:2])
+            yield table(rows)
+            if len(windows) + len(again) > HELD_WINDOWS:
+                yield from settle()
+        if windows:
+            yield from settle()
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Shards of the partition's contexts, interleaved; repeated windows as spans."""
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        table = pa.Table.from_batches(got)
-        # hashed piece by piece: equal windows have equal hashes wherever they stand
-        docs_, rows_, firsts, seconds = [], [], [], []
-        for low in range(0, table.num_rows, 20_000):
-            part = table.slice(low, 20_000)
-            raw = part["context"].to_pylist()
-            sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-            roll = Rolling(np.frombuffer(b"".join(raw), np.uint8))
-            windows = sizes - length + 1
-            step = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-            at = np.repeat(np.cumsum(sizes) - sizes, windows) + step
-            docs_.append(np.repeat(part["doc"].to_numpy(), windows))
-            rows_.append(np.repeat(part["row"].to_numpy(), windows) + step)
-            firsts.append(roll.of(at, at + block))
-            seconds.append(roll.of(at + block, at + length))
-        doc, row = np.concatenate(docs_), np.concatenate(rows_)
-        again = repeated_windows(doc, row, np.concatenate(firsts), np.concatenate(seconds))
-        d, r, n = merged_runs(doc[again], row[again], np.ones(int(again.sum()), np.int64), length)
-        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(r), pa.array(n)], names=["doc", "row", "bytes"])
+        """From a stream by anchor: repeated windows as spans. Chunks end between anchors, or keep each window of the last one once."""
+        names = ["doc", "row", "bytes"]
+        held: list[tuple[tuple[int, int], int, int, bytes]] = []
+        size = 0
+
+        def settle(last: bool):
+            nonlocal held, size
+            key = held[-1][0]
+            open_ = 0 if last else next((i for i in range(len(held) - 1, -1, -1) if held[i][0] != key), -1) + 1
+            part = held if last or not open_ else held[:open_]
+            rest = [] if last or not open_ else held[open_:]
+            doc, row = np.array([x[1] for x in part], np.int64), np.array([x[2] for x in part], np.int64)
+            text, place, again = repeated_windows([x[3] for x in part], doc, row, length)
+            d, r, n = merged_runs(doc[text[again]], row[text[again]] + place[again], np.ones(int(again.sum()), np.int64), length)
+            if not last and not open_:  # one anchor fills the chunk: its windows that are not repeated stay, as runs
+                fresh = np.flatnonzero(~again)
+                heads = np.flatnonzero(np.concatenate([[True], (np.diff(fresh) != 1) | (np.diff(text[fresh]) != 0)]))
+                tails = np.append(heads[1:], len(fresh)) - 1
+                rest = [(key, part[t][1], part[t][2] + a, part[t][3][a : b + length]) for t, a, b in zip(text[fresh[heads]].tolist(), place[fresh[heads]].tolist(), place[fresh[tails]].tolist(), strict=True)]
+            held, size = rest, sum(len(x[3]) for x in rest)
+            return pa.RecordBatch.from_arrays([pa.array(d), pa.array(r), pa.array(n)], names=names)
+
+        limit = CHUNK
+        for batch in batches:
+            done = batch.filter(batch.column("bytes").is_valid())
+            if done.num_rows:
+                yield done.select(names)
+            batch = batch.filter(batch.column("bytes").is_null())
+            for h, salt, doc, row, context in zip(*(batch.column(c).to_pylist() for c in ("h", "salt", "doc", "row", "context")), strict=True):
+                held.append(((h, salt), doc, row, context))
+                size += len(context)
+                if size >= limit:
+                    yield settle(False)
+                    limit = max(CHUNK, 2 * size)
+        if held:
+            yield settle(True)
 
     with_id = asked.withColumn("asked", F.expr("transform(asked, x -> named_struct('place', x.place, 'h', x.h, 'salt', x.salt, 'id', id))"))
     texts = near.join(with_id, "id").select("asked", "text")
-    second = texts.mapInArrow(contexts, "h long, salt int, doc long, row long, context binary").repartition(partitions, "h", "salt").mapInArrow(merged, "doc long, row long, bytes long")
+    second = texts.mapInArrow(contexts, "h long, salt int, doc long, row long, bytes long, context binary").repartition(partitions, "h", "salt").sortWithinPartitions("h", "salt").mapInArrow(merged, "doc long, row long, bytes long")
     every = first.where("row IS NOT NULL").select("doc", "row", "bytes").unionByName(second)
     grouped = every.groupBy(F.col("doc").alias("id"), F.shiftright("row", 31).cast("int").alias("sub")).agg(
         F.array_sort(F.collect_list(F.struct(F.col("row").bitwiseAND((1 << 31) - 1).alias("start"), (F.col("row").bitwiseAND((1 << 31) - 1) + F.col("bytes")).alias("end")))).alias("raw")
@@ -313,6 +413,7 @@ def remove(documents: DataFrame, found: DataFrame, id_col: str = "doc_id", text:
     A text without spans, and a null one, stays as it is (null counts as 0 bytes). Names that clash
     with the added columns are replaced.
     """
+    documents = bounded(documents)
     added = [prefix + c for c in ("bytes", "removed", "spans", "kept")]
     kept = [c for c in documents.columns if c.lower() not in {a.lower() for a in added}]
     source = documents.select(*[F.col(f"`{c}`") for c in kept])

@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch on its way to Python, but for a single longer row.
+BATCH_BYTES = 4 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -48,14 +52,25 @@ def discard(*tables: DataFrame) -> None:
 
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
-    """Fewer rows in an Arrow batch while a step runs: long texts would else stand in memory several times over."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, rows)
+    """Fewer rows and bytes in an Arrow batch while a step runs: long texts would else stand in memory several times over."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, whose session now sends Python ``BATCH_BYTES`` at a time at most: for maps that run after the operator has returned."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark = df.sparkSession
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+    return df
 
 
 def slices(batch: pa.RecordBatch, rows: int = 256):

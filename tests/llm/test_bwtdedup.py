@@ -61,6 +61,7 @@ def test_random_corpora_equal_brute_force(spark, monkeypatch):
     want = brute(rows)
     assert set(result(df)) == want
     monkeypatch.setattr(bwtdedup, "SHARD", 500)
+    monkeypatch.setattr(bwtdedup, "CHUNK", 2000)
     monkeypatch.setattr(bwtdedup, "HOT", 3)  # most anchors are dealt as hot ones
     got = result(df)
     assert set(got) == want and len(got) == len(rows)
@@ -73,14 +74,54 @@ def test_query_equals_brute_force_on_a_whole_table(spark):
     assert {tuple(r) for r in op9_bwt_dedup(spark, SF01).collect()} == brute(rows)
 
 
-def test_interleaving_equals_sorting_all():
-    rng = np.random.default_rng(6)
-    shards = [(rng.integers(0, 5, n).astype(np.uint64), rng.integers(0, 5, n).astype(np.uint64)) for n in (1, 40, 7, 300)]
-    order, new = bwtdedup.interleave(shards)
-    first, second = (np.concatenate([s[k] for s in shards]) for k in (0, 1))
-    want = np.lexsort((second, first))
-    assert (first[order] == first[want]).all() and (second[order] == second[want]).all()
-    assert new.sum() == len(set(zip(first.tolist(), second.tolist())))
+def blocks_of(texts, step):
+    """Positions, block numbers (from 1), and each position's blocks up to its text's end."""
+    numbers, symbols, before, tails = {}, [], [], []
+    for t in texts:
+        starts = [numbers.setdefault(t[p : p + step], len(numbers) + 1) if p + step <= len(t) else 0 for p in range(len(t) + 1)]
+        symbols += starts
+        before += [starts[p - step] if p >= step else 0 for p in range(len(t) + 1)]
+        tails += [tuple(starts[p::step]) for p in range(len(t) + 1)]
+    return np.array(symbols, np.int32), np.array(before, np.int32), tails, len(numbers)
+
+
+def merged_order(shards, step, rounds):
+    symbols, before, tails, most = blocks_of([t for s in shards for t in s], step)
+    cuts = np.cumsum([0] + [sum(len(t) + 1 for t in s) for s in shards])
+    made = [bwtdedup.transform(symbols[a:b], before[a:b], step, most) for a, b in zip(cuts, cuts[1:])]
+    mixed, shared = bwtdedup.interleave([t for t, _ in made], rounds, most)
+    taken = [iter(order + a) for (_, order), a in zip(made, cuts)]
+    return made, [tails[next(taken[k])] for k in mixed], shared, most
+
+
+def test_merging_transforms_orders_all_suffixes_and_gives_common_prefixes():
+    rng = random.Random(6)
+    shards = [["".join(rng.choice("ab") for _ in range(rng.randrange(30))) for _ in range(n)] for n in (1, 12, 3, 40)]
+    for rounds in (1, 2, 4):
+        made, got, shared, most = merged_order(shards, 3, rounds)
+        assert [g[:rounds] for g in got] == sorted(g[:rounds] for g in got)
+        for i in range(1, len(got)):
+            a, b = got[i - 1][:rounds], got[i][:rounds]
+            same = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y or x == 0), rounds)
+            assert shared[i] == (same if same < rounds else -1)
+    # the interleave is read through the shards' own orders: with one of them spoiled the result is another
+    mixed, _ = bwtdedup.interleave([t for t, _ in made], 4, most)
+    spoiled, _ = bwtdedup.interleave([made[0][0], made[1][0][::-1].copy(), *[t for t, _ in made[2:]]], 4, most)
+    assert (mixed != spoiled).any()
+
+
+def test_one_anchor_in_many_chunks(spark, monkeypatch):
+    rng = random.Random(3)
+    text = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    passage = text(160)
+    rows = [(i, text(rng.randrange(60)) + passage[rng.randrange(20) : 160 - rng.randrange(20)] + text(rng.randrange(60))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(bwtdedup, "CHUNK", 3000)
+    monkeypatch.setattr(bwtdedup, "HELD_WINDOWS", 40)
+    want = brute(rows)
+    for hot in (3, 10_000):
+        monkeypatch.setattr(bwtdedup, "HOT", hot)
+        assert set(result(df)) == want
 
 
 def test_edge_rows(spark):
