@@ -3,14 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed and kept in the checkpoint folder; a temporary one is set only where the session names none."""
+    """``df`` computed and kept in the checkpoint folder. Where the session names none a temporary one is set if all run on this machine, else it is an error."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        path = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = path or "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(path)
     return df.checkpoint()
+
+
+def folder(spark: SparkSession, tag: str) -> str:
+    """A new folder for written tables in the one that the session names for checkpoints."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="tessera-")
+    return f"{path.rstrip('/')}/tessera/{tag}-{uuid.uuid4().hex}"

@@ -162,14 +162,60 @@ def valid_template(template: Column) -> Column:
 
 
 def first_json(text: Column) -> Column:
-    """the first JSON object in an answer, fences or not."""
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)```(?:json)?", "")
-    return F.nullif(F.regexp_extract(plain, r"(?s)(\{.*\})", 1), F.lit(""))
+    """the JSON object of an answer: the whole text without fences if it parses, else from its first brace to its last if that parses; null otherwise."""
+    plain = strip_fences(text)
+    braced = F.regexp_extract(plain, r"(?s)(\{.*\})", 1)
+    is_object = lambda x: F.try_parse_json(x).isNotNull() & x.startswith("{")
+    return F.when(is_object(plain), plain).when(is_object(braced), braced)
+
+
+def strip_fences(text: Column) -> Column:
+    """a text without a code fence around it."""
+    opened = F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"(?i)^\s*```(?:json)?\s*", "")
+    return F.trim(F.regexp_replace(opened, r"\s*```\s*$", ""))
+
+
+def json_value(text: Column, key: str) -> Column:
+    """a string value of an answer's object, or (where it does not parse) the first quoted value after the quoted key."""
+    raw = F.regexp_extract(strip_fences(text), rf'(?s)"{key}"\s*:\s*"((?:\\.|[^"\\])*)"', 1)
+    recovered = F.coalesce(F.get_json_object(F.concat(F.lit('{"v":"'), raw, F.lit('"}')), "$.v"), raw)
+    return F.coalesce(F.get_json_object(first_json(text), f"$.{key}"), F.nullif(F.trim(recovered), F.lit("")))
+
+
+def yes_probability(answer: Column) -> Column:
+    """From an answer with the first token's alternatives, ``{"top": [{"token": .., "logprob": ..}]}``, the share of yes among yes and no; null without either."""
+    top = F.from_json(F.get_json_object(answer, "$.top"), "array<struct<token: string, logprob: double>>")
+    mass = lambda word: F.aggregate(F.filter(top, lambda x: F.lower(F.trim(x["token"])) == word), F.lit(0.0), lambda a, x: a + F.exp(x["logprob"]))
+    return F.try_divide(mass("yes"), mass("yes") + mass("no"))
+
+
+def definition_like(prop: Column) -> Column:
+    """Properties that hold definitions rather than names."""
+    key = compact_key(local_name(prop))
+    return key.isin("definition", "comment", "description", "iao0000115", "p97", "p325") | key.startswith("def")
+
+
+def display_text(value: Column, text: Column, prop: Column) -> Column:
+    """What an attribute node shows: its value, else what follows the colon of its text, else the text, else the property."""
+    filled = lambda c: F.nullif(F.trim(F.coalesce(c.cast("string"), F.lit(""))), F.lit(""))
+    suffix = F.when(text.contains(":"), F.regexp_replace(text, r"(?s)^[^:]*:", ""))
+    return F.coalesce(filled(value), filled(suffix), filled(text), filled(prop))
+
+
+def safe_double(value: Column, default: float = 0.0) -> Column:
+    """A finite number from a text, or the default."""
+    v = value.try_cast("double")
+    return F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")), v).otherwise(F.lit(default))
+
+
+def sanitized_json(text: Column) -> Column:
+    """A text without control characters and lone surrogates, as JSON strings may not hold them."""
+    return F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x{d800}-\x{dfff}]", "")
 
 
 def clean_summary(text: Column) -> Column:
     """a text without code fences."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)```[a-z]*", ""))
+    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)```[a-z]*", ""), r"^\s+|\s+$", "")
 
 
 def complete_sentences(text: Column, most: int = 4) -> Column:

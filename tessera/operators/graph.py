@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import count
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -147,54 +148,225 @@ def distances(edges: DataFrame, pairs: DataFrame, most: int = 4) -> DataFrame:
     return reach.join(pairs, ["start", "node"]).groupBy("start").agg(F.min_by(F.struct("d", "node"), F.struct("d", "node")).alias("x")).select("start", "x.node", "x.d")
 
 
-def _cover(rows: pd.DataFrame, start: str, budget: int, alpha: float, reuse: bool = True, hops: int = 6) -> list[tuple[str, str, str]]:
-    """Paths of greatest reward from the start, one after another, until the budget is spent."""
-    around: dict[str, list[tuple[str, int]]] = {}
-    for i, (a, b) in enumerate(zip(rows["src"], rows["dst"], strict=True)):
-        around.setdefault(a, []).append((b, i))
-        around.setdefault(b, []).append((a, i))
-    ic, cost = rows["ic"].to_numpy(float), rows["cost"].to_numpy(int)
-    used: list[int] = []
-    left = budget
-    while left > 0:
-        # states (node, spent) with the best reward; edges in use are free and give no reward again
-        best: dict[tuple[str, int], tuple[float, tuple[int, ...]]] = {(start, 0): (0.0, ())}
-        front, top = dict(best), (0.0, ())
-        for _ in range(hops):
-            after: dict[tuple[str, int], tuple[float, tuple[int, ...]]] = {}
-            for (node, spent), (reward, path) in front.items():
-                for other, i in around.get(node, ()):
-                    if i in path:
-                        continue
-                    free = reuse and i in used
-                    s, r = spent + (0 if free else int(cost[i])), reward + (0.0 if free else float(ic[i])) - alpha
-                    if s <= left and r > best.get((other, s), (-1e18,))[0]:
-                        best[other, s] = after[other, s] = (r, (*path, i))
-                        if r > top[0] and any(j not in used for j in (*path, i)):
-                            top = after[other, s]
-            front = after
-        fresh = [i for i in top[1] if i not in used]
-        if not fresh:
+class _Edges:
+    """A start's edges by their source: from node to (edge numbers)."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.ends = list(zip(rows["src"], rows["dst"], strict=True))
+        self.ic, self.cost = rows["ic"].to_numpy(float), rows["cost"].to_numpy(int)
+        self.out: dict[str, list[int]] = {}
+        for i, (a, _) in enumerate(self.ends):
+            self.out.setdefault(a, []).append(i)
+
+    def price(self, i: int, used: set[int], alpha: float) -> tuple[int, float]:
+        """Cost and reward of an edge: one in use costs nothing and gives nothing but the penalty of a hop."""
+        return (0, -alpha) if i in used else (int(self.cost[i]), float(self.ic[i]) - alpha)
+
+
+def _labelled(edges: _Edges, start: str, hops: int, used: set[int], left: float, alpha: float) -> list[int]:
+    """The path of greatest reward within hops and budget, by labels (cost, hops, reward) at nodes of which no one dominates another."""
+    kept: dict[str, list[tuple[int, int, float]]] = {start: [(0, 0, 0.0)]}
+    front: list[tuple[str, int, float, tuple[int, ...]]] = [(start, 0, 0.0, ())]
+    best: tuple[float, tuple[int, ...]] = (float("-inf"), ())
+    for hop in range(1, hops + 1):
+        after = []
+        for node, spent, reward, path in front:
+            for i in edges.out.get(node, ()):
+                cost, gain = edges.price(i, used, alpha)
+                to, c, r = edges.ends[i][1], spent + cost, reward + gain
+                if c > left or any(x <= c and h <= hop and y >= r for x, h, y in kept.get(to, ())):
+                    continue
+                kept[to] = [k for k in kept.get(to, ()) if not (c <= k[0] and hop <= k[1] and r >= k[2])] + [(c, hop, r)]
+                after.append((to, c, r, (*path, i)))
+                if r > best[0]:
+                    best = (r, (*path, i))
+        front = after
+    return list(best[1])
+
+
+def _relaxed(edges: _Edges, start: str, hops: int, used: set[int], left: float, alpha: float, rounds: int = 8) -> list[int]:
+    """The budget as a price for cost: walks by hops of greatest priced reward, the price halved between its bounds until the walk fits."""
+    nodes = {n: k for k, n in enumerate(dict.fromkeys([start, *[x for e in edges.ends for x in e]]))}
+    a, b = (np.array([nodes[e[k]] for e in edges.ends], np.int64) for k in (0, 1))
+    free = np.zeros(len(a), bool)
+    free[list(used)] = True
+    cost, gain = np.where(free, 0, edges.cost), np.where(free, -alpha, edges.ic - alpha)
+    low, high, found = 0.0, float(edges.ic.max()) / max(1, int(edges.cost.min())), []
+    for _ in range(rounds):
+        price = (low + high) / 2
+        value = np.full(len(nodes), -np.inf)
+        value[0] = 0.0
+        best, steps = (float("-inf"), 0, 0), []
+        for hop in range(1, hops + 1):
+            by = value[a] + gain - price * cost
+            value, last = np.full(len(nodes), -np.inf), np.full(len(nodes), -1)
+            for i in np.argsort(by, kind="stable")[::-1]:  # the best edge into each node, of equal ones the last
+                if by[i] > value[b[i]]:
+                    value[b[i]], last[b[i]] = by[i], i
+            steps.append(last)
+            if value.max() > best[0]:
+                best = (float(value.max()), hop, int(value.argmax()))
+        path, at = [], best[2]
+        for last in reversed(steps[: best[1]]):
+            path.append(int(last[at]))
+            at = int(a[last[at]])
+        if not path:
+            high = price
+        elif sum(int(cost[i]) for i in path) > left:
+            low = price
+        else:
+            high, found = price, path[::-1]
+    return found
+
+
+def _stepwise(edges: _Edges, start: str, hops: int, used: set[int], left: float, alpha: float) -> list[int]:
+    """Hop by hop the edge with the most reward for its cost that the budget still allows."""
+    node, spent, path, taken = start, 0, [], set(used)
+    for _ in range(hops):
+        choices = []
+        for i in edges.out.get(node, ()):
+            cost, gain = edges.price(i, taken, alpha)
+            if spent + cost <= left:
+                choices.append((gain / cost if cost else gain * 1e6, -i, cost))
+        if not choices:
+            break
+        _, i, cost = max(choices)
+        path.append(-i)
+        taken.add(-i)
+        spent, node = spent + cost, edges.ends[-i][1]
+    return path
+
+
+METHODS = {"dp": _labelled, "lagrangian": _relaxed, "local": _stepwise}
+
+
+def _cover(rows: pd.DataFrame, start: str, budget: int, alpha: float, hops: int, method: str) -> list[tuple[str, str, str]]:
+    """Best paths from the start, one after another, until one adds no cost or doesn't fit."""
+    edges, used, left = _Edges(rows), [], budget
+    while left > 0 and len(rows):
+        path = METHODS[method](edges, start, hops, set(used), left, alpha)
+        fresh = [i for i in dict.fromkeys(path) if i not in used]
+        spent = int(edges.cost[fresh].sum()) if fresh else 0
+        if spent == 0 or spent > left:
             break
         used += fresh
-        left -= int(cost[fresh].sum())
+        left -= spent
     return [tuple(rows.iloc[i][["src", "rel", "dst"]]) for i in used]
 
 
-def greedy_context(context: DataFrame, budget: int, alpha: float = 0.1, hops: int = 6) -> DataFrame:
-    """For each start of (start, src, rel, dst, ic, cost) the edges that paths of best reward, of ``hops`` edges at most, cover within a budget of cost.
+def greedy_context(context: DataFrame, budget: int, alpha: float = 0.1, hops: int = 6, method: str = "dp") -> DataFrame:
+    """For each start of (start, src, rel, dst, ic, cost) the edges that paths along them, of ``hops`` edges at most, cover within a budget of cost.
 
-    A start's neighbourhood is bounded by its hops, so a group is one entity's.
+    ``method`` finds each path: ``dp`` (G5), ``lagrangian`` (G6) or ``local`` (G7). A start's
+    neighbourhood is bounded by its hops, so a group is one entity's.
     """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["src", "rel", "dst"]).reset_index(drop=True)
-        got = _cover(rows, key[0], budget, alpha, hops=hops)
+        got = _cover(rows, key[0], budget, alpha, hops, method)
         return pd.DataFrame([(key[0], i, *e) for i, e in enumerate(got)], columns=["start", "pos", "src", "rel", "dst"])
 
     return context.groupBy("start").applyInPandas(run, "start string, pos int, src string, rel string, dst string")
 
 
+def labelled_context(context: DataFrame, labels_of: DataFrame, all_labels: bool = False) -> DataFrame:
+    """Edges (start, src, rel, dst) of a neighbourhood in words: the first label of each part, or every combination of them; parts without labels keep their names."""
+    out = context
+    for part in ("src", "rel", "dst"):
+        own = labels_of.select(F.col("iri").alias(part), F.col("labels").alias(f"__{part}"))
+        out = out.join(own, part, "left").withColumn(f"__{part}", F.coalesce(F.col(f"__{part}"), F.array(F.col(part))))
+    for part in ("src", "rel", "dst"):
+        out = out.withColumn(f"{part}_label", F.explode(f"__{part}") if all_labels else F.col(f"__{part}")[0])
+    return out.select("start", "src", "rel", "dst", "src_label", "rel_label", "dst_label")
+
+
+def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 4) -> DataFrame:
+    """(start, node, d, path): a shortest undirected path from ``start`` to the nearest of its target nodes, the first of equal ones by name; none beyond ``most`` steps."""
+    both = symmetric(edges).select("a", "b").distinct()
+    front = pairs.select("start", F.col("start").alias("node")).distinct().withColumn("path", F.array("node"))
+    reach = checkpointed(front)
+    for _ in range(most):
+        step = front.join(both, front.node == both.a).select("start", F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path"))
+        step = step.groupBy("start", "node").agg(F.min("path").alias("path")).join(reach.select("start", "node"), ["start", "node"], "left_anti")
+        front = checkpointed(step)
+        reach = reach.unionByName(front)
+    found = reach.join(pairs.select("start", "node").distinct(), ["start", "node"]).withColumn("d", F.size("path") - 1)
+    return found.groupBy("start").agg(F.min_by(F.struct("node", "d", "path"), F.struct("d", "path")).alias("x")).select("start", "x.node", "x.d", "x.path")
+
+
+def is_subclass(rel: Column) -> Column:
+    """Relations that say subclass."""
+    return F.lower(rel).contains("subclassof")
+
+
+def selected_components(selected: DataFrame, rounds: int = 64) -> DataFrame:
+    """Components (start, node, comp) of each start's selected edges, by their smallest node; more than ``rounds`` steps across one are an error."""
+    both = selected.select("start", F.col("src").alias("a"), F.col("dst").alias("b")).union(selected.select("start", "dst", "src")).distinct()
+    comp = checkpointed(both.select("start", F.col("a").alias("node")).distinct().withColumn("comp", F.col("node")))
+    for _ in range(rounds):
+        near = both.join(comp.withColumnRenamed("node", "b"), ["start", "b"]).groupBy("start", F.col("a").alias("node")).agg(F.min("comp").alias("low"))
+        after = checkpointed(comp.join(near, ["start", "node"], "left").select("start", "node", F.least("comp", F.coalesce("low", "comp")).alias("comp"), (F.col("low") < F.col("comp")).alias("moved")))
+        comp = after.drop("moved")
+        if not after.where("moved").take(1):
+            return comp
+    raise RuntimeError("components of the selected edges are unfinished")
+
+
+def bridges(edges: DataFrame, selected: DataFrame, most: int = 4) -> DataFrame:
+    """Edges that join each part of a start's selection that does not hold the start: a part of subclass edges alone gets one such edge from its first node to the start, any other a shortest path from that node to the part of the start."""
+    comp = selected_components(selected)
+    home = comp.where("node = start").select("start", F.col("comp").alias("home"))
+    apart = comp.join(home, "start", "left").where(F.col("home").isNull() | (F.col("comp") != F.col("home")))
+    rels = selected.join(apart.withColumnRenamed("node", "src"), ["start", "src"]).groupBy("start", "comp").agg(F.min(is_subclass(F.col("rel")).cast("int")).alias("only"), F.min("rel").alias("rel"))
+    direct = rels.where("only = 1").select("start", F.col("comp").alias("src"), "rel", F.col("start").alias("dst"))
+    wanted = rels.where("only = 0").select("start", "comp")
+    targets = comp.join(home, "start", "left").where("comp = home").select("start", "node").union(selected.select("start", F.col("start").alias("node"))).distinct()
+    pairs = wanted.join(targets, "start").select(F.concat_ws("\x1f", "start", "comp").alias("k"), "start", "comp", "node")
+    found = shortest_paths_between(edges, pairs, most)
+    steps = found.select("start", F.inline(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.element_at("path", i).alias("a"), F.element_at("path", i + 1).alias("b")))))
+    named = symmetric(edges).groupBy("a", "b").agg(F.min(F.struct("src", "rel", "dst")).alias("e"))
+    paths = steps.join(named, ["a", "b"]).select("start", "e.src", "e.rel", "e.dst")
+    return direct.unionByName(paths).distinct()
+
+
+def shortest_paths_between(edges: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
+    """G8 for several origins of one start: ``pairs`` are (k, start, comp, node); the path goes from ``comp`` to the nearest node."""
+    both = symmetric(edges).select("a", "b").distinct()
+    front = pairs.select("k", "start", "comp").distinct().select("k", "start", F.col("comp").alias("node"), F.array("comp").alias("path"))
+    reach = front
+    for _ in range(most):
+        step = front.join(both, front.node == both.a).select("k", "start", F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path"))
+        front = checkpointed(step.groupBy("k", "start", "node").agg(F.min("path").alias("path")).join(reach.select("k", "node"), ["k", "node"], "left_anti"))
+        reach = reach.unionByName(front)
+    hit = reach.join(pairs.select("k", "node").distinct(), ["k", "node"])
+    return hit.groupBy("k", "start").agg(F.min_by("path", F.struct(F.size("path"), "path")).alias("path"))
+
+
+def axiom_targets(axioms: DataFrame, families: DataFrame, depth: int = 8) -> DataFrame:
+    """(iri, family, target): what classes are said to be under, through intersections and restrictions.
+
+    ``axioms`` are (iri, node) with the expression each class is a subclass of, or equivalent to, and
+    rows (iri, node, kind, prop, child): a ``named`` node is a class, an ``intersection`` goes on to its
+    children, a ``restriction`` with a property of a family ends at its filler if that is named, and
+    goes on to it otherwise. ``families``: (prop, family).
+    """
+    nodes = axioms.select("node", "kind", "prop", "child").distinct()
+    front = axioms.where("top").select("iri", "node").distinct()
+    known = nodes.where("kind = 'named'").select("node").distinct()
+    out = None
+    for _ in range(depth):
+        at = front.join(nodes, "node")
+        named = at.where("kind = 'named' AND node <> iri").select("iri", F.lit("is_a").alias("family"), F.col("node").alias("target"))
+        held = at.where("kind = 'restriction'").join(families, "prop", "left").join(known.select(F.col("node").alias("child"), F.lit(True).alias("plain")), "child", "left")
+        ended = held.where("family IS NOT NULL AND plain").select("iri", "family", F.col("child").alias("target"))
+        further = held.where("family IS NULL OR plain IS NULL").select("iri", F.col("child").alias("node")).union(at.where("kind = 'intersection'").select("iri", F.col("child").alias("node")))
+        out = named.unionByName(ended) if out is None else out.unionByName(named).unionByName(ended)
+        front = checkpointed(further.where("node IS NOT NULL").distinct())
+        if not front.take(1):
+            return out.distinct()
+    raise RuntimeError(f"class expressions are nested deeper than {depth}")
+
+
 def token_cost(text: Column, ratio: float = 1.3) -> Column:
     """Tokens of a verbalised edge, from its words."""
     return (F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")) * ratio).cast("int")

@@ -115,7 +115,7 @@ def dense_topk(src: DataFrame, tgt: DataFrame, k: int, block: int = 8192) -> Dat
 def union_channels(semantic: DataFrame, lexical: DataFrame, k: int) -> DataFrame:
     """Candidates of two channels, best first: score the greater, missing 0, channels named where above 0."""
     both = semantic.select("src", "tgt", F.col("score").alias("sem")).join(lexical.select("src", "tgt", F.col("score").alias("lex")), ["src", "tgt"], "full_outer").na.fill(0.0, ["sem", "lex"])
-    named = both.withColumn("score", F.greatest("sem", "lex")).withColumn("channels", F.concat_ws("|", F.when(F.col("lex") > 0, "lexical"), F.when(F.col("sem") > 0, "semantic")))
+    named = both.withColumn("score", F.greatest("sem", "lex")).withColumn("channels", F.concat_ws("|", F.when(F.col("sem") > 0, "semantic"), F.when(F.col("lex") > 0, "lexical")))
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), F.desc("sem"), F.desc("lex"), "tgt"))
     return named.withColumn("pos", rank).where(F.col("pos") <= k)
 
@@ -128,3 +128,22 @@ def share_stats(cands: DataFrame, k: int, sim: str = "cand_sim", eps: float = 1.
     top = F.sum(F.when(F.col("__n") <= k, F.col("cand_sim_prob")).otherwise(0.0)).over(by)
     rest = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - top))
     return out.withColumn("cand_share_top", top).withColumn("cand_share_log", F.log((top + eps) / (rest + eps))).drop("__n")
+
+
+def candidate_texts(labels: DataFrame, annotations: DataFrame, total: int = 12) -> DataFrame:
+    """(iri, texts): an entity's labels in order, then its admitted alias literals, ``total`` at most.
+
+    Aliases are taken in order of priority, property, normalised text and literal. One whose compact
+    key was taken is passed over, as is one whose property has given all it may; the latter's key
+    stays free for another property. So it is a fold over an entity's sorted literals.
+    """
+    scored = annotations.select("iri", "prop", "value", X.annotation_priority(F.col("value"), F.col("prop")).alias("p"), X.annotation_cap(F.col("prop")).alias("cap"), X.normalize(F.col("value")).alias("n"), X.compact_key(F.col("value")).alias("key"))
+    item = F.struct("p", "prop", "n", "value", "key", "cap")
+    lists = scored.where("p IS NOT NULL AND key <> ''").distinct().groupBy("iri").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    fold = """aggregate(items, named_struct('keys', cast(array() as array<string>), 'props', cast(array() as array<string>), 'texts', cast(array() as array<string>)), (a, x) ->
+        if(size(a.texts) >= {total} or array_contains(a.keys, x.key) or size(filter(a.props, q -> q = x.prop)) >= x.cap, a,
+           named_struct('keys', concat(a.keys, array(x.key)), 'props', concat(a.props, array(x.prop)), 'texts', concat(a.texts, array(x.value)))), a -> a.texts)"""
+    aliases = lists.select("iri", F.expr(fold.format(total=total)).alias("aliases"))
+    named = labels.groupBy("iri").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    none = F.array().cast("array<string>")
+    return named.join(aliases, "iri", "full_outer").select("iri", F.array_distinct(F.concat(F.coalesce("labels", none), F.coalesce("aliases", none))).alias("texts"))

@@ -82,8 +82,21 @@ def source_sample(rows: DataFrame, n: int) -> DataFrame:
 
 
 def seeded_sample(rows: DataFrame, key: list[str], ratio: float, seed: int = 42) -> DataFrame:
-    """About a share of the rows by a hash of their key: the same rows in any order or partitioning, no sort."""
-    return rows.where(F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1_000_000)) < int(ratio * 1_000_000))
+    """floor(n * ratio) rows, one at least, those whose keys hash lowest: the same rows in any order or partitioning.
+
+    Counts by 4096 ranges of the hash tell which ranges go in whole; only the range that the sample ends in is ordered.
+    """
+    part = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(4096))
+    sizes = sorted(tuple(r) for r in rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    wanted, first = max(1, int(sum(n for _, n in sizes) * ratio)), 0
+    while sizes and first < len(sizes) - 1 and wanted >= sizes[first][1]:
+        wanted -= sizes[first][1]
+        first += 1
+    if not sizes:
+        return rows
+    order = F.row_number().over(Window.orderBy(F.xxhash64(*key, F.lit(seed + 1)), *key))
+    last = rows.where(part == sizes[first][0]).withColumn("__r", order).where(F.col("__r") <= wanted).drop("__r")
+    return rows.where(part < sizes[first][0]).unionByName(last)
 
 
 def ranking_check(ranking: DataFrame, reference: DataFrame) -> DataFrame:

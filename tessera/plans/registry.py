@@ -44,6 +44,13 @@ UNION ALL SELECT concat('o', o_orderkey), 'placed_by', concat('c', o_custkey) FR
     "annot": """
 SELECT p_partkey AS iri, 'brand' AS prop, p_brand AS value FROM {part}
 UNION ALL SELECT p_partkey, 'type', p_type FROM {part} UNION ALL SELECT p_partkey, 'name', p_name FROM {part}""",
+    "npairs": "SELECT concat('n', n_nationkey) AS src, concat('r', n_regionkey) AS tgt FROM {nation}",
+    "nitems": """
+SELECT concat('n', c_nationkey) AS iri, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS pos, substr(c_mktsegment, 1, 1) AS rel, least(1e0, n / 40e0) AS ic, 1e0 / length(c_mktsegment) AS spec, length(c_mktsegment) / 12e0 AS weight, x, y, z
+FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n, avg(c_acctbal) / 1e4 AS x, count(*) / 5e1 AS y, (max(c_acctbal) - min(c_acctbal)) / 1.2e4 - 0.5e0 AS z FROM {customer} GROUP BY c_nationkey, c_mktsegment)""",
+    "ritems": """
+SELECT concat('r', n_regionkey) AS iri, row_number() OVER (PARTITION BY n_regionkey ORDER BY c_mktsegment) AS pos, substr(c_mktsegment, 1, 1) AS rel, least(1e0, n / 200e0) AS ic, 1e0 / length(c_mktsegment) AS spec, length(c_mktsegment) / 12e0 AS weight, x, y, z
+FROM (SELECT n_regionkey, c_mktsegment, count(*) AS n, avg(c_acctbal) / 9e3 AS x, count(*) / 25e1 AS y, (max(c_acctbal) - min(c_acctbal)) / 1.3e4 - 0.5e0 AS z FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey GROUP BY n_regionkey, c_mktsegment)""",
     "vec": "SELECT vec_id AS iri, embedding AS vector, label FROM {embeddings}",
 }
 CHANNELS = ["hier", "sim", "diff"]
@@ -195,7 +202,7 @@ def _(v):
 @query("J5_union_channels", """
 WITH a AS (SELECT src, tgt, s_sim AS sem FROM pairs WHERE s_sim > 0.5e0), b AS (SELECT src, tgt, s_lex AS lex FROM pairs WHERE s_lex > 0.5e0),
 j AS (SELECT src, tgt, coalesce(sem, 0) AS sem, coalesce(lex, 0) AS lex FROM a FULL JOIN b USING (src, tgt))
-SELECT src, tgt, sem, lex, greatest(sem, lex) AS score, concat_ws('|', CASE WHEN lex > 0 THEN 'lexical' END, CASE WHEN sem > 0 THEN 'semantic' END) AS channels,
+SELECT src, tgt, sem, lex, greatest(sem, lex) AS score, concat_ws('|', CASE WHEN sem > 0 THEN 'semantic' END, CASE WHEN lex > 0 THEN 'lexical' END) AS channels,
        row_number() OVER (PARTITION BY src ORDER BY greatest(sem, lex) DESC, sem DESC, lex DESC, tgt)::INTEGER AS pos FROM j QUALIFY pos <= 3""", "sem lex score")
 def _(v):
     p = v("pairs")
@@ -233,10 +240,10 @@ def _(v):
 WITH c AS (SELECT src, tgt, score AS cand_sim, row_number() OVER (PARTITION BY src ORDER BY score DESC, tgt)::INTEGER AS pos FROM pairs),
 p AS (SELECT *, avg(cand_sim) OVER w AS cand_sim_mean, cand_sim / sum(cand_sim) OVER w AS cand_sim_prob FROM c WINDOW w AS (PARTITION BY src)),
 t AS (SELECT *, sum(CASE WHEN pos <= 2 THEN cand_sim_prob ELSE 0 END) OVER (PARTITION BY src) AS cand_share_top FROM p)
-SELECT *, ln((cand_share_top + 1.1920928955078125e-07) / (least(1e0, greatest(0e0, 1 - cand_share_top)) + 1.1920928955078125e-07)) AS cand_share_log FROM t WHERE cand_share_top < 0.999e0""", "cand_sim cand_sim_mean cand_sim_prob cand_share_top cand_share_log")
+SELECT *, ln((cand_share_top + 1.1920928955078125e-07) / (least(1e0, greatest(0e0, 1 - cand_share_top)) + 1.1920928955078125e-07)) AS cand_share_log FROM t""", "cand_sim cand_sim_mean cand_sim_prob cand_share_top cand_share_log")
 def _(v):
     c = P.ranks(v("pairs")).select("src", "tgt", F.col("score").alias("cand_sim"), F.col("rank").alias("pos"))
-    return R.share_stats(c, 2).where("cand_share_top < 0.999")
+    return R.share_stats(c, 2)
 
 
 _FUSED = """
@@ -266,7 +273,8 @@ def _(v):
     return C.attribute(C.arbitrate(fused(v), d), CHANNELS).select("src", "tgt", "I_llm", "I_label", "I_struct", "S_final", "C_label", "C_llm")
 
 
-@query("A27_identities", "SELECT 0e0 AS omega_error, 0e0 AS mixture_error")
+@query("A27_identities", f"""WITH {_FUSED} SELECT max(abs(o_hier + o_sim + o_diff - CASE WHEN total > 1e-8 THEN 1 ELSE 0 END)) AS omega_error,
+max(CASE WHEN g_lex > 1e-8 OR g_struct > 1e-8 THEN abs(S_base - (1 - w_c) * s_lex - w_c * S_struct) ELSE 0 END) AS mixture_error FROM u""", "omega_error mixture_error")
 def _(v):
     return A.identities(fused(v), CHANNELS)
 
@@ -304,7 +312,8 @@ def _(v):
 
 
 @query("W6_reciprocity", """
-WITH e AS (SELECT src, tgt, exp((score - max(score) OVER (PARTITION BY tgt)) / 0.75e0) AS e FROM pairs) SELECT src, tgt, least(1e0, greatest(0e0, 2 * e / sum(e) OVER (PARTITION BY tgt) - 1)) AS reciprocity FROM e""", "reciprocity")
+WITH c AS (SELECT src, tgt, least(1 - 1e-6, greatest(1e-6, score)) AS p FROM pairs), o AS (SELECT src, tgt, ln(p / (1 - p)) AS o FROM c), e AS (SELECT src, tgt, exp((o - max(o) OVER (PARTITION BY tgt)) / 0.75e0) AS e FROM o)
+SELECT src, tgt, 2 * e / sum(e) OVER (PARTITION BY tgt) - 1 AS reciprocity FROM e""", "reciprocity")
 def _(v):
     return M.reciprocity(v("pairs"), "score").select("src", "tgt", "reciprocity")
 
@@ -330,23 +339,6 @@ def _(v):
     return M.distinctive(i)
 
 
-def selected(v) -> DataFrame:
-    p = M.group_features(v("pairs").select("src", "tgt", "score", "s_lex", "s_sim", "s_hier", "q_sim", "q_hier"), "score")
-    p = M.reciprocity(M.channel_gap(p, ["s_lex", "s_sim"]), "score")
-    p = p.withColumn("cand_sim_prob", F.col("q_sim") / 2).withColumn("distinctive", F.col("q_hier")).withColumn("granularity", F.col("s_hier") / 2).withColumn("contradiction", F.lit(0.0))
-    return M.heuristic(p.withColumn("pair_score", F.col("s_lex")))
-
-
-@query("M1_heuristic_selector")
-def _(v):
-    return selected(v).select("src", "tgt", "S_select", "prob", "competition", "safety")
-
-
-@query("M2_abstention")
-def _(v):
-    return M.abstention(selected(v))
-
-
 @query("M7_threshold_tuning", """
 WITH d AS (SELECT src, score AS p, label, src % 3 <> 0 OR label = 1 AS has_ref FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, tgt) AS r FROM pairs) WHERE r = 1), t AS (SELECT i / 20e0 AS threshold FROM range(1, 20) x(i)),
 m AS (SELECT threshold, count(*) FILTER (p >= threshold AND label = 1) AS tp, count(*) FILTER (p >= threshold AND label = 0) AS fp, count(*) FILTER (has_ref AND NOT (p >= threshold AND label = 1)) AS fn FROM d, t GROUP BY threshold)
@@ -364,11 +356,6 @@ def _(v):
     return M.resolve_targets(d).select("src", "tgt", "p_match")
 
 
-@query("M9_folds")
-def _(v):
-    return M.folds(v("pairs"), 5)
-
-
 @query("M13_evidence_support", f"""WITH {_FUSED}, k AS (SELECT u.*, 1 - (row_number() OVER (PARTITION BY src ORDER BY score DESC, tgt) - 1) / greatest(1, count(*) OVER (PARTITION BY src) - 1)::DOUBLE AS rs FROM u),
 r AS (SELECT *, (S_base + s_lex + S_struct + rs) / 4 AS raw FROM k) SELECT src, tgt, least(1e0, greatest(0e0, CASE WHEN s_diff < 0.5e0 THEN raw * s_diff / 0.5e0 ELSE raw END)) AS support FROM r""", "support")
 def _(v):
@@ -444,11 +431,6 @@ def _(v):
     return A.pivot_table(p, "a", "b", 7, 7)
 
 
-@query("A28_rank_sum")
-def _(v):
-    return A.rank_sum(v("pairs"), "s_diff", "label")
-
-
 @query("A28_histogram_overlap", """
 WITH l AS (SELECT min(s_diff) AS lo, max(s_diff) AS hi FROM pairs), c AS (SELECT least(49, floor((s_diff - lo) * 50 / (hi - lo))) AS b, count(*) FILTER (label = 1) AS x, count(*) FILTER (label = 0) AS y FROM pairs, l GROUP BY 1)
 SELECT sum(least(x / (SELECT sum(x) FROM c)::DOUBLE, y / (SELECT sum(y) FROM c)::DOUBLE)) AS overlap FROM c""", "overlap")
@@ -502,12 +484,12 @@ def _(v):
     return A.confounders(named, X.content_tokens(F.col("long_label"), ["the", "of"])).select("src", "tgt")
 
 
-@query("Q_ledger", """
-SELECT 'pairs' AS area, 'gold within pairs' AS "check", true AS passed, (SELECT count(*) FROM gold)::DOUBLE AS observed, (SELECT count(*) FROM gold)::DOUBLE AS expected
-UNION ALL SELECT 'fusion', 'weights sum to one or zero', true, 0e0, 0e0""", "observed expected")
+@query("Q_ledger", f"""WITH {_FUSED}, g AS (SELECT (SELECT count(*) FROM gold)::DOUBLE AS observed, (SELECT sum(label) FROM pairs)::DOUBLE AS expected), e AS (SELECT round(max(abs(o_hier + o_sim + o_diff - CASE WHEN total > 1e-8 THEN 1 ELSE 0 END)), 6) AS observed FROM u)
+SELECT 'pairs' AS area, 'gold within pairs' AS "check", observed = expected AS passed, observed, expected FROM g
+UNION ALL SELECT 'fusion', 'weights sum to one or zero', observed = 0, observed, 0e0 FROM e""", "observed expected")
 def _(v):
     f = A.identities(fused(v), CHANNELS)
-    return A.ledger(A.assertion(v("pairs"), "pairs", "gold within pairs", F.count_if(F.col("label") == 1), F.sum("label")), A.assertion(f, "fusion", "weights sum to one or zero", F.max(F.round("omega_error", 6)), F.lit(0.0)))
+    return A.ledger(A.assertion(v("pairs").join(v("gold").withColumn("g", F.lit(1)), ["src", "tgt"], "left"), "pairs", "gold within pairs", F.count_if(F.col("g") == 1), F.sum("label")), A.assertion(f, "fusion", "weights sum to one or zero", F.max(F.round("omega_error", 6)), F.lit(0.0)))
 
 
 @query("Q3_dump_profile", f"""WITH {_FUSED} SELECT count(*) AS rows, 0::BIGINT AS blank_ids, count(DISTINCT src) AS sources, count(DISTINCT CASE WHEN label = 1 THEN src END) AS sources_correct,
@@ -516,7 +498,7 @@ def _(v):
     return A.dump_profile(fused(v), CHANNELS)
 
 
-@query("Q10_constant_columns", "SELECT 'label' AS \"column\", false AS constant UNION ALL SELECT 's_lex', false")
+@query("Q10_constant_columns", "SELECT 'label' AS \"column\", count(DISTINCT label) <= 1 AS constant FROM pairs UNION ALL SELECT 's_lex', count(DISTINCT s_lex) <= 1 FROM pairs")
 def _(v):
     return A.constant_columns(v("pairs").select(F.col("label").cast("double").alias("label"), "s_lex"), ["label", "s_lex"])
 

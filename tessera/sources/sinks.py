@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Columns of a channel dump, in order.
-CHANNELS = ["hier", "sim", "diff", "attr"]
+# Columns of a channel dump, in order.
 DUMP = [
-    "src", "tgt", "is_correct", "s_lex", *[f"s_{c}" for c in CHANNELS], "q_lex", *[f"q_{c}" for c in CHANNELS], "sigma_lex", *[f"sigma_{c}" for c in CHANNELS], "sigma_struct",
-    *[f"omega_{c}" for c in CHANNELS], "w_c", "S_struct", "Q_struct", "S_lctx", "U", "p_llm", "llm_invoked", "llm_gated", "S_pair", "S_final", "src_label_text", "tgt_label_text",
+    "src", "tgt", "is_correct",
+    "s_lex", "s_hier", "s_sim", "s_diff", "s_attr",
+    "q_lex", "q_hier", "q_sim", "q_diff", "q_attr",
+    "sigma_lex", "sigma_hier", "sigma_sim", "sigma_diff", "sigma_attr", "sigma_struct",
+    "omega_hier", "omega_sim", "omega_diff", "omega_attr",
+    "w_c", "S_struct", "Q_struct", "S_lctx", "U", "p_llm", "llm_invoked", "llm_gated", "S_pair", "S_final", "src_label_text", "tgt_label_text",
 ]
 
 
@@ -78,3 +81,19 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) ->
 def numbered(df: DataFrame, by: str) -> DataFrame:
     """Positions of rows within a group, for orders that a file had."""
     return df.withColumn("pos", F.row_number().over(Window.partitionBy(by).orderBy("tgt")))
+
+
+def write_stage(df: DataFrame, path: str, kind: str, fingerprint: str) -> None:
+    """K9: a finished stage as a table, and beside it what it is; a stage without that table is none, so a write that broke off is not resumed."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{path}/rows")
+    spark.createDataFrame([(kind, fingerprint)], "kind string, fingerprint string").write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def read_stage(spark: SparkSession, path: str, kind: str, fingerprint: str) -> DataFrame | None:
+    """Q14: the rows of a stage of this kind and fingerprint; None if there is none."""
+    meta = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/meta/_SUCCESS")
+    if not meta.getFileSystem(spark._jsc.hadoopConfiguration()).exists(meta):
+        return None
+    same = spark.read.parquet(f"{path}/meta").where((F.col("kind") == kind) & (F.col("fingerprint") == fingerprint)).take(1)
+    return spark.read.parquet(f"{path}/rows") if same else None

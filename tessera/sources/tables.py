@@ -160,13 +160,19 @@ def run_metrics(spark: SparkSession, pattern: str) -> DataFrame:
     return raw.unpivot(["path"], names, "metric", "value").select("path", "metric", F.col("value").try_cast("double").alias("value"))
 
 
-def read_config(path: str, defaults: dict) -> dict:
-    """A JSON configuration merged into the defaults, dictionary by dictionary."""
-    def merge(a: dict, b: dict) -> dict:
-        return {**a, **{k: merge(a[k], v) if isinstance(v, dict) and isinstance(a.get(k), dict) else v for k, v in b.items()}}
+def merged_config(defaults: dict, own: dict) -> dict:
+    """A configuration over its defaults, dictionary by dictionary."""
+    return {**defaults, **{k: merged_config(defaults[k], x) if isinstance(x, dict) and isinstance(defaults.get(k), dict) else x for k, x in own.items()}}
+
 
+def read_config(path: str, defaults: dict) -> dict:
+    """A JSON configuration, or a YAML one where a parser is installed, merged into the defaults."""
     with open(path) as f:
-        return merge(defaults, json.load(f))
+        if path.endswith((".yaml", ".yml")):
+            import yaml
+
+            return merged_config(defaults, yaml.safe_load(f) or {})
+        return merged_config(defaults, json.load(f))
 
 
 def flatten_config(spark: SparkSession, config: dict) -> DataFrame:

@@ -9,6 +9,19 @@ def test_context_paths_keep_the_callers_hops(spark):
     first = lambda hops: {(r.src, r.dst) for r in G.greedy_context(context, hops, hops=hops).collect()}
     assert first(2) == {("a", "n1"), ("n1", "n2")}
     assert len(first(9)) == 9
-    one = context.where("src = 'a' OR src = 'n1'")
-    assert len(G.greedy_context(one.withColumn("ic", F.when(F.col("src") == "a", 0.05).otherwise(9.0)), 9, hops=1).collect()) == 0
-    assert len(G.greedy_context(one.withColumn("ic", F.when(F.col("src") == "a", 0.05).otherwise(9.0)), 9, hops=2).collect()) == 2
+    # the best path counts even where its reward is negative, and a longer one that pays is better
+    one = context.where("src = 'a' OR src = 'n1'").withColumn("ic", F.when(F.col("src") == "a", 0.05).otherwise(9.0))
+    assert len(G.greedy_context(one, 9, hops=1).collect()) == 1
+    assert len(G.greedy_context(one, 9, hops=2).collect()) == 2
+
+
+def test_path_methods(spark):
+    edges = [("a", "b", 1.0, 1), ("b", "c", 5.0, 1), ("a", "d", 3.0, 2), ("d", "e", 0.1, 1), ("c", "a", 9.0, 9)]
+    context = spark.createDataFrame([("a", s, "r", d, i, c) for s, d, i, c in edges], "start string, src string, rel string, dst string, ic double, cost int")
+    paths = lambda method, budget, hops: [(r.src, r.dst) for r in G.greedy_context(context, budget, 0.0, hops, method).orderBy("pos").collect()]
+    assert paths("dp", 2, 2) == [("a", "b"), ("b", "c")]
+    assert paths("dp", 2, 1) == [("a", "d")]
+    assert paths("lagrangian", 2, 2) == [("a", "b"), ("b", "c")]
+    assert paths("local", 3, 2) == [("a", "d"), ("d", "e")]
+    # edges point one way: nothing is reached against them
+    assert G.greedy_context(context.where("src = 'b'"), 9, 0.0, 2).count() == 0
