@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,9 +19,11 @@ BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset a temporary one if all run on this machine, else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -41,13 +44,17 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables made by ``cut`` that nothing reads any more."""
+    """Delete tables made by ``cut`` that nothing reads any more, and let Spark drop the shuffle files of the steps before: it does when the driver's garbage is collected."""
+    spark = None
     for df in tables:
         path = getattr(df, "_tessera_path", None)
         if path:
             spark = df.sparkSession
             hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
             hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    if spark:
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 @contextmanager
@@ -120,15 +127,21 @@ def batches_of(batches: Iterator[pa.RecordBatch], columns: list[str], most: int
         yield out()
 
 
-#: Bits of the map that ``id_marks`` makes: 2 MB, whatever the input.
-MARK_BITS = 24
+#: Powers of two of the bits of a map that ``id_marks`` makes: 2 MB at least, 32 MB at most.
+MARK_BITS, MOST_MARK_BITS = 24, 28
 
 
 def id_marks(ids: DataFrame) -> np.ndarray:
-    """A bit map of fixed size in which the ids of ``ids`` (column ``id``) are marked by hash: a superset of them, for filters ahead of a join."""
-    h = F.pmod(F.xxhash64("id"), F.lit(1 << MARK_BITS))
+    """A bit map in which the ids of ``ids`` (column ``id``) are marked by hash: a superset of them, for filters ahead of a join.
+
+    It has 16 bits for an id, between ``MARK_BITS`` and ``MOST_MARK_BITS``. Beyond the most it stays
+    right but tells fewer of the other ids apart, so more rows take the way of the join.
+    """
+    n = ids.agg(F.approx_count_distinct("id")).first()[0]
+    bits = min(MOST_MARK_BITS, max(MARK_BITS, (16 * n).bit_length()))
+    h = F.pmod(F.xxhash64("id"), F.lit(1 << bits))
     words = ids.select(h.alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()
-    marks = np.zeros(1 << MARK_BITS - 6, np.uint64)
+    marks = np.zeros(1 << bits - 6, np.uint64)
     marks[words["w"].to_numpy().astype(np.int64)] = words["bits"].to_numpy().astype(np.int64).view(np.uint64)
     return marks
 
@@ -146,5 +159,5 @@ def marked(df: DataFrame, id_col: str, marks: np.ndarray, wanted: bool) -> DataF
             hit = ((sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1) & known
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(columns))], names=columns).filter(pa.array(hit == wanted))
 
-    hashed = F.when(F.col(f"`{id_col}`").isNotNull(), F.pmod(F.xxhash64(f"`{id_col}`"), F.lit(1 << MARK_BITS)))
+    hashed = F.when(F.col(f"`{id_col}`").isNotNull(), F.pmod(F.xxhash64(f"`{id_col}`"), F.lit(64 * len(marks))))
     return df.withColumn(free_name(df, "__mark"), hashed).mapInArrow(run, df.schema)
