@@ -5,29 +5,38 @@ and that token is the one suffix of the prefix whose boundary the merges would k
 ``(a, b)`` are kept exactly when encoding ``a + b`` from scratch gives ``a, b`` again. Reading a
 piece byte by byte therefore needs, for each open position, only the token that ends there. A state
 of the transducer is that list for the bytes since the last settled boundary, with the token before
-it. A boundary is settled when every chain of tokens that can still be continued passes it; a chain
-can be continued only where the bytes read since begin some token, so the lookahead is less than the
-longest token. States and transitions are made when first met and kept in a bounded table.
+it, and the longest beginning of a token that the bytes end with (its place in the trie of tokens,
+from which suffix links lead to the shorter ones). A boundary is settled when
+every chain of tokens that can still be continued passes it; a chain can be continued only where the
+bytes read since begin some token, so the lookahead is less than the longest token. It is looked for
+every ``LOOK`` bytes, and tokens before it are emitted. States and transitions are made when first
+met and kept in a bounded table.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import slices, texts_of
+from tessera.llm.common import bounded, free_name, slices, texts_of
 
 #: Entries of each memo table before it is emptied: bounds a worker's memory.
 MEMO_ENTRIES = 400_000
+#: Bytes that the UTF-8 machine is fed at a time.
+DECODED = 1 << 16
+#: Bytes between two looks for a settled boundary.
+LOOK = 16
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -44,25 +53,67 @@ class Transducer:
         self.longest = max(map(len, ranks), default=1)
         #: The two parts whose merge makes a token of several bytes. What no merge makes is only a whole piece.
         self.made_of: dict[bytes, tuple[bytes, bytes]] = {}
-        #: 1 for tokens, 2 for proper beginnings of tokens, 3 for both.
-        self.kinds = {t: 1 for t in ranks if len(t) == 1}
+        #: The trie of all tokens: node and byte to node; of each node the token that merges make there, its depth, parent and last byte, whether it goes on, and (made when asked for) the node of its longest shorter suffix.
+        self.goto: dict[int, int] = {}
+        self.token_at: list[bytes | None] = [None]
+        self.depth, self.above, self.goes_on, self.suffix = [0], [0], [False], [0]
         for token in ranks:
-            if len(token) > 1:
+            node = 0
+            for byte in token:
+                key = node << 8 | byte
+                self.goes_on[node] = True
+                after = self.goto.get(key)
+                if after is None:
+                    after = self.goto[key] = len(self.token_at)
+                    self.token_at.append(None)
+                    self.depth.append(self.depth[node] + 1)
+                    self.above.append(key)
+                    self.goes_on.append(False)
+                    self.suffix.append(-1)
+                node = after
+            if len(token) == 1:
+                self.token_at[node] = token
+            else:
                 parts = self.merge(token, 2)
                 if len(parts) == 2 and parts[0] + parts[1] == token:
                     self.made_of[token] = (parts[0], parts[1])
-                    self.kinds[token] = 1
-        for start in {t[:i] for t in ranks for i in range(1, len(t))}:
-            self.kinds[start] = self.kinds.get(start, 0) | 2
+                    self.token_at[node] = token
         self.kept = lru_cache(MEMO_ENTRIES)(self._kept)
         self.reset()
 
     def reset(self) -> None:
-        #: A state: last settled token; pending bytes; for each pending position the token that ends there, and as bits the boundaries on its chain.
-        self.states: list[tuple[bytes, bytes, tuple[bytes, ...], tuple[int, ...]]] = [(b"", b"", (), ())]
-        self.numbers: dict[tuple, int] = {(b"", b"", ()): 0}
+        #: A state: last settled token; pending bytes; for each pending position the token that ends there; the place in the trie.
+        self.states: list[tuple[bytes, bytes, tuple[bytes, ...], int]] = [(b"", b"", (), 0)]
+        self.settled: dict[tuple, int] = {}
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.ends: dict[int, tuple[int, ...]] = {}
+        self.after: dict[int, int] = {}
+        self.ending_at: dict[int, tuple[bytes, ...]] = {}
+
+    def _after(self, node: int, byte: int) -> int:
+        """The longest beginning of a token at the end of a node's bytes and one more."""
+        key = node << 8 | byte
+        to = self.after.get(key)
+        if to is None:
+            to = self.goto.get(key)
+            if to is None:
+                to = self._after(self._suffix(node), byte) if node else 0
+            self.after[key] = to
+        return to
+
+    def _suffix(self, node: int) -> int:
+        if self.suffix[node] < 0:
+            parent, byte = self.above[node] >> 8, self.above[node] & 255
+            self.suffix[node] = self._after(self._suffix(parent), byte) if parent else 0
+        return self.suffix[node]
+
+    def _ending_at(self, node: int) -> tuple[bytes, ...]:
+        """The tokens that a node's bytes end with, longest first."""
+        got = self.ending_at.get(node)
+        if got is None:
+            own, rest = self.token_at[node], self._ending_at(self._suffix(node)) if node else ()
+            got = self.ending_at[node] = (own, *rest) if own is not None else rest
+        return got
 
     def merge(self, piece: bytes, least: int = 1) -> list[bytes]:
         """The definition: merge the lowest-ranked neighbouring pair, leftmost first, down to ``least`` parts. Only for short pieces."""
@@ -97,43 +148,41 @@ class Transducer:
                 limit, right = ranks[right] + 1, b[0]
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        before, pending, ending, chains = self.states[state]
+        before, pending, ending, node = self.states[state]
+        node = self._after(node, byte)
+        n, token = len(pending) + 1, None
+        for token in self._ending_at(node):
+            left = ending[n - len(token) - 1] if len(token) < n else before
+            if not left or self.kept(left, token):
+                break
         pending += bytes((byte,))
-        n, kinds, token, common = len(pending), self.kinds, None, -1
-        for start in range(max(0, n - self.longest), n):
-            suffix = pending[start:]
-            kind = kinds.get(suffix)
-            if kind:
-                if kind & 1 and token is None:
-                    left = ending[start - 1] if start else before
-                    if not left or self.kept(left, suffix):
-                        token = suffix
-                if kind & 2:  # more bytes can continue a token from here
-                    common &= chains[start - 1] if start else 0
         ending += (token,)
-        own = (chains[n - len(token) - 1] if len(token) < n else 0) | 1 << n
-        chains += (own,)
-        common &= own
-        out: tuple[int, ...] = ()
-        if common:
-            cut = common.bit_length() - 1
-            tokens, p = [], cut
-            while p > 0:
-                tokens.append(ending[p - 1])
-                p -= len(ending[p - 1])
-            tokens.reverse()
-            out = tuple([self.ranks[t] for t in tokens])
-            before, pending, ending = tokens[-1], pending[cut:], ending[cut:]
-            chains = tuple([c >> cut & -2 for c in chains[cut:]])
-        key = (before, pending, ending)
-        number = self.numbers.get(key)
-        if number is None:
-            number = self.numbers[key] = len(self.states)
-            self.states.append((*key, chains))
-        return number, out
-
-    def _finish(self, state: int) -> tuple[int, ...]:
-        ending = self.states[state][2]
+        if len(pending) % LOOK == 0 and (cut := self._boundary(ending, node)):
+            out = self._tokens(ending[:cut])
+            before, pending, ending = ending[cut - 1], pending[cut:], ending[cut:]
+            key = (before, pending, ending)
+            number = self.settled.get(key)
+            if number is None:
+                number = self.settled[key] = len(self.states)
+                self.states.append((*key, node))
+            return number, out
+        self.states.append((before, pending, ending, node))
+        return len(self.states) - 1, ()
+
+    def _boundary(self, ending: tuple[bytes, ...], node: int) -> int:
+        """The last position that the chains of the last token and of every token that can be continued pass; 0 without one."""
+        chains = [0]  # of each position the boundaries on its chain, as bits
+        for at, token in enumerate(ending, 1):
+            chains.append((chains[at - len(token)] if len(token) <= at else 0) | 1 << at)
+        common = chains[-1]
+        while node:
+            if self.goes_on[node]:
+                common &= chains[len(ending) - self.depth[node]]
+            node = self._suffix(node)
+        return max(0, common.bit_length() - 1)
+
+    def _tokens(self, ending: tuple[bytes, ...]) -> tuple[int, ...]:
+        """The ids on the last position's chain."""
         tokens, p = [], len(ending)
         while p > 0:
             tokens.append(self.ranks[ending[p - 1]])
@@ -157,7 +206,7 @@ class Transducer:
                 out.extend(emitted)
         end = self.ends.get(state)
         if end is None:
-            end = self.ends[state] = self._finish(state)
+            end = self.ends[state] = self._tokens(self.states[state][2])
         out.extend(end)
         return out
 
@@ -177,17 +226,80 @@ class _Pieces(dict):
         return ids
 
 
+def _ranges(kind: str, top: int) -> str:
+    """The characters below ``top`` that ``kind`` (a class such as \\p{L}) matches, as ranges of a set."""
+    every = "".join(map(chr, (c for c in range(top) if not 0xD800 <= c < 0xE000)))
+    runs = [(ord(m[0][0]), ord(m[0][-1])) for m in regex.finditer(f"{kind}+", every)]
+    cut = [r for a, b in runs for r in ([(a, 0xD7FF), (0xE000, b)] if a < 0xD800 <= b else [(a, b)])]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in cut)
+
+
+def spelled_out(pattern: str, top: int) -> re.Pattern | None:
+    """The pattern for texts of characters below ``top`` with its classes as sets, which ``re`` matches faster; None if it has what ``re`` would take otherwise."""
+    kinds: dict[str, str] = {}
+
+    def ranges(kind: str) -> str:
+        return kinds.get(kind) or kinds.setdefault(kind, _ranges(kind, top))
+
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        m = re.compile(r"\\p\{\w+\}|\\[sS]|\\?.", re.S).match(pattern, at)
+        at, one = m.end(), m[0]
+        if one == "\\S":
+            if inside:
+                return None
+            out.append(f"[^{ranges(chr(92) + 's')}]")
+        elif one == "\\s" or len(one) > 2:
+            out.append(ranges(one) if inside else f"[{ranges(one)}]")
+        elif len(one) == 2 and (one[1].isalnum() or one[1] == "_"):
+            return None
+        else:
+            if one == "[" and (inside or pattern[at : at + 1] == "]"):
+                return None
+            if inside and one in "&~|-" and pattern[at : at + 1] == one:
+                return None
+            inside = one == "[" or inside and one != "]"
+            out.append(one)
+    return re.compile("".join(out)) if "(?" not in pattern.replace("(?!", "").replace("(?:", "").replace("(?=", "") else None
+
+
 class Tokenizer:
     """Encoder of whole texts: each match of ``pattern`` is encoded by itself."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pieces = _Pieces(Transducer(ranks))
-        self.find = regex.compile(pattern).findall
+        every = regex.compile(pattern)
+        self.finders = [(spelled_out(pattern, top) or every).findall for top in (1 << 7, 1 << 16)] + [every.findall]
         self.bytes_of = {i: t for t, i in ranks.items()}
+        top = max(self.bytes_of, default=-1)
+        #: Token bytes by id; ids that the ranks leave out are null.
+        self.table = pa.array([self.bytes_of.get(i) for i in range(top + 1)], pa.binary())
+
+    def find(self, text: str) -> list[str]:
+        """The pattern's matches, by the pattern for the text's characters."""
+        if text.isascii():
+            return self.finders[0](text)
+        return self.finders[1 if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else 2](text)
 
     def encode_packed(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.find(text)))
 
+    def decode_batch(self, ids: pa.Array, offsets: np.ndarray) -> list[str]:
+        """Texts of consecutive runs of ids (from one offset to the next): all tokens' bytes are gathered at once, each text's go through a machine of its own."""
+        if ids.null_count or len(ids) and (pa.compute.min(ids).as_py() < 0 or pa.compute.max(ids).as_py() >= len(self.table)):
+            raise ValueError("unknown token id")
+        gathered = self.table.take(ids)
+        if gathered.null_count:
+            raise ValueError("unknown token id")
+        ends = np.frombuffer(gathered.buffers()[1], np.int32, len(ids) + 1) if len(ids) else np.zeros(1, np.int32)
+        data = memoryview(gathered.buffers()[2] or b"")
+        out = []
+        for a, b in zip(ends[offsets[:-1]].tolist(), ends[offsets[1:]].tolist(), strict=True):
+            machine = Utf8Machine()
+            parts = [machine.feed(bytes(data[low : min(low + DECODED, b)])) for low in range(a, b, DECODED)]
+            out.append("".join([*parts, machine.close()]))
+        return out
+
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text), np.int32).tolist()
 
@@ -256,7 +368,8 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
     """
     outputs = [ids] + ([decoded] if decoded else [])
     kept = [c for c in df.columns if c.lower() not in {o.lower() for o in outputs}]
-    hidden = "__text"
+    hidden = free_name(df, "__text")
+    df = bounded(df)
     source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(hidden))
     fields = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)]
     if decoded:
@@ -273,7 +386,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
                 values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(packed))])
                 columns = [batch.column(c) for c in kept] + [pa.ListArray.from_arrays(pa.array(offsets), values)]
                 if decoded:
-                    columns.append(pa.array(["".join(tok.stream(np.frombuffer(p, np.int32).tolist())) for p in packed], pa.string()))
+                    columns.append(pa.array(tok.decode_batch(values, offsets), pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, *outputs])
 
     return source.mapInArrow(run, schema)
@@ -288,7 +401,9 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids",
         tok = tokenizer(ranks_path, pattern)
         for whole in batches:
             for batch in slices(whole):
-                texts = ["".join(tok.stream(x or ())) for x in batch.column(ids).to_pylist()]
+                lists = batch.column(ids)
+                offsets = np.concatenate(([0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+                texts = tok.decode_batch(lists.flatten(), offsets)
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(texts, pa.string())], names=[*kept, text])
 
-    return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+    return bounded(df).select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
