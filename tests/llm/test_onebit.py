@@ -36,11 +36,29 @@ def test_recall_over_small_blocks(spark):
 def test_estimates_are_unbiased_and_bounds_hold():
     rng = np.random.default_rng(4)
     v, q = rng.normal(size=(4000, 64)), rng.normal(size=(20, 64))
-    turn = onebit.rotation(64)
-    guess, error = onebit.estimate(q, turn, *onebit.encode(v, turn))
-    diff = guess - q @ v.T
-    # the standard error of the mean of independent estimates is a 280th of their spread; four of it
-    assert abs(diff.mean()) < 4 / 280 * diff.std() and (np.abs(diff) <= error).mean() > 0.99
+    for bits in (64, 512):
+        turn = onebit.rotation(64, bits=bits)
+        guess, error = onebit.estimate(q, turn, *onebit.encode(v, turn))
+        diff = guess - q @ v.T
+        # the standard error of the mean of independent estimates is a 280th of their spread; four of it
+        assert abs(diff.mean()) < 4 / 280 * diff.std() and (np.abs(diff) <= error).mean() > 0.999
+    turn = onebit.rotation(13, bits=3)
+    guess, error = onebit.estimate(q[:, :13], turn, *onebit.encode(v[:, :13], turn))
+    assert (np.abs(guess - q[:, :13] @ v[:, :13].T) <= error).mean() > 0.99
+
+
+def test_recall_and_share_reranked_on_a_whole_table(spark, monkeypatch):
+    rows = spark.read.parquet(f"{SF01.replace('0.01', '0.1')}/embeddings.parquet").toPandas()
+    ids, v = rows["vec_id"].to_numpy(), np.stack(rows["embedding"]).astype(np.float64)
+    asked, measured = np.flatnonzero(ids % 20 == 0), []
+    turn, exact = onebit.rotation(v.shape[1]), onebit.inner
+    monkeypatch.setattr(onebit, "inner", lambda a, b: (measured.append(len(a)), exact(a, b))[1])
+    hits = 0
+    for at, numbers, _ in onebit.search_block(ids[asked], v[asked], ids, v, onebit.encode(v, turn), turn, 20):
+        score = np.where(ids == ids[asked[at]], -np.inf, v @ v[asked[at]])
+        hits += len(set(numbers.tolist()) & set(np.argsort(-score)[:20].tolist()))
+    assert hits >= 0.99 * 20 * len(asked)
+    assert sum(measured) < 0.25 * len(ids) * len(asked)
 
 
 def test_edge_rows(spark):
