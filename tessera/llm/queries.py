@@ -73,7 +73,7 @@ def op1_onebit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingle sets have a Jaccard similarity of 0.75 or more."""
-    return triejoin.join(table(spark, sf_dir, "documents"))
+    return triejoin.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op9_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
