@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.durable import checkpointed
+
 
 def run_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """A10: for each column mean, population deviation, least, quartiles, greatest, over rows that have it."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "metric", "value").where("value IS NOT NULL")
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = long.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), q.alias("q"), F.max("value").alias("max"))
-    return out.select("metric", "n", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
+    out = long.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    quartiles = reduce(DataFrame.unionByName, [quantiles(df.select(F.col(c).cast("double").alias("v")), "v", [0.25, 0.5, 0.75]).select(F.lit(c).alias("metric"), "q") for c in columns])
+    return out.join(F.broadcast(quartiles), "metric").select("metric", "n", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
 
 
 def llm_counts(df: DataFrame, low: float = 0.5, high: float = 0.8) -> DataFrame:
@@ -29,10 +31,33 @@ def reasons(df: DataFrame) -> DataFrame:
     return df.where("llm_used").groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("tp"), F.count_if(F.col("label") == 0).alias("fp"))
 
 
+def ranged_counts(df: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
+    """The distinct values with their counts, dealt by ranges and kept, and the rows before each range: what ranks and quantiles come from without a task that holds all."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__c"))
+    ranged = checkpointed(counts.repartitionByRange(value).withColumn("__p", F.spark_partition_id()))
+    sums = ranged.groupBy("__p").agg(F.sum("__c").alias("__s"))
+    before = sums.alias("a").join(sums.alias("b"), F.col("b.__p") < F.col("a.__p"), "left").groupBy(F.col("a.__p").alias("__p")).agg(F.coalesce(F.sum("b.__s"), F.lit(0)).alias("__before"))
+    return ranged, before
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
+    """One row with ``q``: the exact quantiles by linear interpolation; null for a table without values. Only the values next to a quantile leave their range."""
+    ranged, before = ranged_counts(df, value)
+    n = ranged.agg(F.coalesce(F.sum("__c"), F.lit(0)).alias("__n"))
+    w = Window.partitionBy("__p").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    at = [F.lit(float(s)) * F.greatest(F.lit(0), F.col("__n") - 1) for s in shares]
+    wanted = F.array(*[g(x).cast("long") for x in at for g in (F.floor, F.ceil)])
+    placed = ranged.join(F.broadcast(before), "__p").withColumn("__end", F.col("__before") + F.sum("__c").over(w)).crossJoin(F.broadcast(n))
+    hit = placed.select(F.col(value).cast("double").alias("v"), F.explode(F.array_distinct(F.filter(wanted, lambda i: (i >= F.col("__end") - F.col("__c")) & (i < F.col("__end"))))).alias("i"))
+    found = hit.agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m")).crossJoin(F.broadcast(n))
+    low, high = (lambda x: F.element_at("m", F.floor(x).cast("long"))), (lambda x: F.element_at("m", F.ceil(x).cast("long")))
+    each = [low(x) + (high(x) - low(x)) * (x - F.floor(x)) for x in at]
+    return found.select(F.when(F.col("__n") > 0, F.array(*each)).alias("q"))
+
+
 def quantile_edges(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
     """One row with the distinct edges of quantile bins."""
-    grid = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    return df.agg(F.array_distinct(F.percentile(value, grid)).alias("edges"))
+    return quantiles(df, value, [i / bins for i in range(bins + 1)]).select(F.array_distinct("q").alias("edges"))
 
 
 def with_bin(df: DataFrame, edges: DataFrame, value: str) -> DataFrame:
@@ -75,10 +100,7 @@ def average_rank_all(df: DataFrame, value: str, name: str = "rank") -> DataFrame
     Values are counted first; each range of values is ranked in its own task after the sums of the
     ranges before it.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__c"))
-    ranged = counts.repartitionByRange(value).withColumn("__p", F.spark_partition_id())
-    sums = ranged.groupBy("__p").agg(F.sum("__c").alias("__s"))
-    before = sums.alias("a").join(sums.alias("b"), F.col("b.__p") < F.col("a.__p"), "left").groupBy(F.col("a.__p").alias("__p")).agg(F.coalesce(F.sum("b.__s"), F.lit(0)).alias("__before"))
+    ranged, before = ranged_counts(df, value)
     w = Window.partitionBy("__p").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     ranks = ranged.join(F.broadcast(before), "__p").select(value, (F.col("__before") + F.sum("__c").over(w) - (F.col("__c") - 1) / 2.0).alias(name))
     return df.join(ranks, value, "left")
@@ -208,7 +230,7 @@ def verdict(primary_high: Column, adverse: Column) -> Column:
 
 def failure_taxonomy(sources: DataFrame, k: int = 5) -> DataFrame:
     """The first category that fits each source (gold_rank, lead, evidence, llm_used, top1_correct); absent gold is its own."""
-    med = sources.agg(F.percentile("evidence", 0.5).alias("__m"))
+    med = quantiles(sources, "evidence", [0.5]).select(F.col("q")[0].alias("__m"))
     g = F.col("gold_rank")
     c = F.when(F.col("top1_correct"), "correct").when(g < 0, "gold_absent").when(g > k, "gold_below_top_k").when(F.col("llm_used"), "llm_overturned").when(F.col("lead") < 0.02, "near_tie").when(F.col("evidence") < F.col("__m"), "thin_evidence").otherwise("misranked")
     return sources.crossJoin(F.broadcast(med)).withColumn("category", c).drop("__m")

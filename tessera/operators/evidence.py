@@ -90,8 +90,10 @@ def family_of(relations: DataFrame, families: DataFrame) -> DataFrame:
 
     ``families``: (family, ordinal, alias, seed), a configuration table.
     """
-    hit = relations.join(families, (F.lower("rel") == F.lower("alias")) | (F.lower("label") == F.lower("seed")), "left")
-    return hit.groupBy("rel").agg(F.min_by("family", "ordinal").alias("family"))
+    by_alias = relations.join(families.select("family", "ordinal", F.lower("alias").alias("__k")), F.lower("rel") == F.col("__k"))
+    by_seed = relations.join(families.select("family", "ordinal", F.lower("seed").alias("__k")), F.lower("label") == F.col("__k"))
+    hit = by_alias.select("rel", "family", "ordinal").unionByName(by_seed.select("rel", "family", "ordinal")).groupBy("rel").agg(F.min_by("family", "ordinal").alias("family"))
+    return relations.select("rel").distinct().join(hit, "rel", "left")
 
 
 def grid_trials(df_of_values: dict[str, DataFrame]) -> DataFrame:
