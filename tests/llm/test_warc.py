@@ -1,10 +1,13 @@
 import base64
 import hashlib
 import io
+import zlib
 
 import pytest
 
-from tessera.llm import warc
+from pyspark.sql import functions as F
+
+from tessera.llm import common, warc
 from tests.conftest import SF
 
 
@@ -18,8 +21,6 @@ def test_record_ids_read_back(number):
 
 
 def test_damaged_archives_are_errors():
-    import zlib
-
     good = warc.record(1, "http://a/", b"abc", warc.base32_sha1(b"abc"), 3, None, False, "1970-01-01T00:00:00Z")
     pack = zlib.compressobj(1, zlib.DEFLATED, 31)
     data = pack.compress(good) + pack.flush()
@@ -43,6 +44,26 @@ def test_edge_rows(spark):
     assert {r.record_type for r in got if r.record_id is None} == {"response", "revisit"}
     assert {r.record_type for r in warc.round_trip(df, least_bytes=5).collect()} == {"response"}
     assert warc.round_trip(df.where("false")).count() == 0
+    named = df.withColumn("__original", F.lit(1)).withColumn("__sha1", F.lit("x")).withColumn("id", F.lit(9)).withColumn("key", F.lit(2))
+    assert sorted(map(str, warc.round_trip(named).collect())) == sorted(map(str, got))
+
+
+def test_rows_that_the_map_takes_for_revisits_are_written_whole(spark, monkeypatch):
+    monkeypatch.setattr(common, "MARK_BITS", 7)
+    monkeypatch.setattr(common, "MOST_MARK_BITS", 7)
+    rows = [(i, "u", f"payload {i % 150 if i < 300 else i}") for i in range(600)]
+    got = {r.record_id: r for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == 600
+    for i, _, h in rows:
+        assert got[i].record_type == ("revisit" if i < 150 else "response") and (i < 150 or bytes(got[i].payload).decode() == h)
+        assert got[i].refers_to == (i + 150 if i < 150 else None)
+
+
+def test_archives_begin_with_their_own_record():
+    data = b"".join(zlib.compress(x, 1, 31) for x in (warc.info("a.warc.gz", "2020-01-01T00:00:00Z"), warc.record(1, None, b"x", warc.base32_sha1(b"x"), 1, None, False, "2020-01-01T00:00:00Z")))
+    assert [r["record_id"] for r in warc.records(io.BytesIO(data))] == [1]
+    revisit = warc.record(1, "a", b"", warc.base32_sha1(b"x"), 1, 2, True, "2020-01-01T00:00:00Z", "http://b/").decode()
+    assert "WARC-Refers-To-Target-URI: http://b/" in revisit and "WARC-Refers-To-Date: 2020-01-01T00:00:00Z" in revisit
 
 
 def test_query_against_brute_force(spark):
