@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import slices, texts_of
+from tessera.llm.common import bounded, free_name, slices, texts_of
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -267,8 +267,10 @@ def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 4, ra
     return Trees(trees, base)
 
 
-#: Elements that never hold an article's text.
-NEVER = RAW | frozenset("head nav footer aside form button select input menu dialog canvas svg object embed audio video".split())
+# Fixed values of the HTML standard: elements without text to read. What else surrounds an article the trees tell, since any other element may also hold it.
+NEVER = RAW | frozenset("head button select input canvas svg object embed audio video".split())
+#: Elements that in training pages are no part of the article, wherever they stand.
+AROUND = NEVER | frozenset("nav header footer aside form menu dialog".split())
 
 
 def decode(nodes: list[Node], log_odds: np.ndarray, inherit: float = 0.7) -> list[bool]:
@@ -352,7 +354,7 @@ def _labels(nodes: list[Node]) -> np.ndarray:
     y = np.zeros(len(nodes), np.int8)
     for node in nodes:
         up = node.parent
-        if up is None or node.tag in NEVER or node.tag == "header" or any(t in _AWAY for t in node.tokens):
+        if up is None or node.tag in AROUND or any(t in _AWAY for t in node.tokens):
             continue
         y[node.at] = y[up.at] or node.tag in ("article", "main")
     return y
@@ -364,9 +366,22 @@ VARIANTS = (
     ('<div class="content" id="main">', "</div>", '<header class="site-header"><a href="/">{0}</a></header><div class="cookie notice"><p>{0}</p></div>', '<aside class="sidebar"><h4>{0}</h4><ul><li><a href="#">{0}</a></li></ul></aside>'),
     ('<main><div class="entry">', "</div></main>", '<div role="navigation"><ul class="menu"><li><a href="#">{0}</a></li></ul></div>', '<div id="comments"><ol><li class="comment"><p>{0}</p></li></ol></div><div class="site-footer"><p>{0}</p></div>'),
     ('<div class="article-body">', "</div>", '<div class="banner advert">{0}</div>', '<form class="newsletter"><label>{0}</label><input name="q"></form><div class="related"><ul><li><a href="#">{0}</a></li><li><a href="#">{0}</a></li></ul></div>'),
+    ('<article class="x">', "</article>", '<div class="zone"><p>{0}</p></div>', '<div id="lower"><p>{0}</p></div><div><p>{0}</p></div>'),
     ('<section class="story">', "</section>", '<div class="alert">{0}</div><div class="breadcrumb"><a href="#">{0}</a></div>', '<div class="promo sponsored"><p>{0}</p></div><div class="share social"><a href="#">{0}</a></div>'),
 )
 
+#: What those templates put inside the article before and after its text, and around the whole page, in turn.
+INNER = (
+    ("", ""),
+    ('<header><p>{0}</p></header>', '<footer><p>{0}</p></footer>'),
+    ("", '<div class="share"><a href="#">{0}</a></div><div class="comments"><p>{0}</p><p>{0}</p></div>'),
+    ('<div class="meta">{0}</div>', '<aside><p>{0}</p></aside>'),
+    ('<div class="ad"><p>{0}</p></div>', '<form action="/"><p>{0}</p><input name="q"></form>'),
+    ("", '<nav><ul><li><a href="#">{0}</a></li></ul></nav>'),
+    ("", ""),
+)
+WRAPPERS = (("", ""), ('<form id="page">', "</form>"), ('<div class="wrap search">', "</div>"), ('<div class="wrap">', "</div>"), ('<div class="page sidebar notice"><div class="inner more">', "</div></div>"), ("<div>", "</div>"), ("", ""), ('<div id="widget" class="modal form">', "</div>"))
+
 
 def training_rows(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of pages that mark their article, as they are and in each of ``VARIANTS`` in turn."""
@@ -379,7 +394,15 @@ def training_rows(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
             words = re.sub(r"<[^>]*>", " ", m[2]).split()
             some = " ".join(words[-(3 + k % 40) :])
             mark = opens.replace(">", " data-main>", 1)
-            shown.append((page[: m.start()] + before.replace("{0}", some) + mark + m[2] + closes + after.replace("{0}", some) + page[m.end() :], opens))
+            first, last = INNER[k % len(INNER)]
+            # the article's own text in other elements too: other headings, and more of them, lists and quotes
+            inner = re.sub(r"<(/?)h1\b", rf"<\1{('h1', 'h2', 'h3')[k % 3]}", m[2])
+            inner = inner.replace("</p>", ("</p>", "</p><h2>{0}</h2>", "</p><h3>{0}</h3><ul><li>{0}</li><li>{0}</li></ul>", "</p><blockquote><p>{0}</p></blockquote><div>{0}</div>")[k % 4], 1)
+            whole = page[: m.start()] + before + mark + first + inner + last + closes + after + page[m.end() :]
+            wrap, unwrap = WRAPPERS[k % len(WRAPPERS)]
+            whole = re.sub(r"(<body[^>]*>)", lambda b: b[1] + wrap, whole, count=1) if re.search(r"<body[^>]*>", whole) else wrap + whole
+            whole = whole.replace("</body>", unwrap + "</body>", 1)
+            shown.append((whole.replace("{0}", some), opens))
         for text, opens in shown:
             nodes = elements(parse(text))
             y = _labels(nodes)
@@ -388,7 +411,7 @@ def training_rows(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
                 tokens = tuple(_WORDS.findall(" ".join(re.findall(r'"([^"]*)"', opens.split(">")[0] + ">"))))
                 for node in nodes:
                     up = node.parent
-                    away = node.tag in NEVER or node.tag == "header" or any(t in _AWAY for t in node.tokens)
+                    away = node.tag in AROUND or any(t in _AWAY for t in node.tokens)
                     y[node.at] = up is not None and not away and (bool(y[up.at]) or node.tag == tag and node.tokens[: len(tokens)] == tokens)
             xs.append(features([nodes]))
             ys.append(y)
@@ -424,11 +447,12 @@ def extract_main(df: DataFrame, trees: Trees, html: str = "html", output: str =
     source = df.select(*[F.col(f"`{c}`") for c in kept])
     fields = [T.StructField(output, T.StringType(), False)] + ([T.StructField(spans, T.ArrayType(T.StringType()), False)] if spans else [])
     sent = df.sparkSession.sparkContext.broadcast(trees)
+    hidden = free_name(source, "__html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
-                pages = [elements(parse(t)) for t in texts_of(batch, "__html")]
+                pages = [elements(parse(t)) for t in texts_of(batch, hidden)]
                 odds = sent.value.log_odds(features(pages)) if pages else []
                 found, at = [], 0
                 for nodes in pages:
@@ -437,4 +461,4 @@ def extract_main(df: DataFrame, trees: Trees, html: str = "html", output: str =
                 columns = [pa.array([" ".join(b) for b in found], pa.string())] + ([pa.array(found, pa.list_(pa.string()))] if spans else [])
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *columns], names=[*kept, *outputs])
 
-    return source.withColumn("__html", F.col(f"`{html}`")).mapInArrow(run, T.StructType([*source.schema.fields, *fields]))
+    return bounded(source).withColumn(hidden, F.col(f"`{html}`")).mapInArrow(run, T.StructType([*source.schema.fields, *fields]))

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import mainhtml
 from tests.conftest import SF, SF01
@@ -37,6 +38,21 @@ def test_other_templates(trees):
         assert " ".join(mainhtml.extract(page.replace("{0}", "some other words"), trees)) == want
 
 
+def test_templates_that_training_never_shows(trees):
+    """Names and nestings of site builders that are in no list of the module."""
+    body = "<h2>A headline of this one</h2><p>It begins with a sentence, and goes on for a while; there is more to say here. Then it says more.</p><p>A second paragraph, as long as the first one, with several words and some commas, to be read.</p>"
+    want = "A headline of this one It begins with a sentence, and goes on for a while; there is more to say here. Then it says more. A second paragraph, as long as the first one, with several words and some commas, to be read."
+    head, menu, foot = "<html><head><title>t</title></head><body>", '<ul class="topnav"><li><a href="/">Home</a></li><li><a href="/b">B</a></li><li><a href="/c">C</a></li></ul>', '<div id="colophon"><p>Copyright by someone, all kinds of rights</p></div></body></html>'
+    pages = [
+        f'{head}<form id="aspnetForm" action="x.aspx">{menu}<article>{body}</article>{foot.replace("</body>", "</form></body>")}',
+        f'{head}<div class="wrap search">{menu}<article>{body}</article></div>{foot}',
+        f'{head}<div id="wpwrap"><nav>{menu}</nav><main class="site-main"><article>{body}</article></main></div>{foot}',
+        f'{head}<article><header><p>By some writer, on a day</p></header>{body}<footer><p>Filed under things</p></footer></article>{foot}',
+    ]
+    for page in pages:
+        assert " ".join(mainhtml.extract(page, trees)) == want, page[:200]
+
+
 def test_no_descendant_of_a_rejected_element_is_kept():
     rng = np.random.default_rng(1)
     for _ in range(200):
@@ -56,10 +72,11 @@ def test_no_descendant_of_a_rejected_element_is_kept():
 def test_edge_rows(spark, trees):
     long = "<body><article><p>" + "word, word. " * 20000 + "</p></article>"
     rows = [(1, None, "u", "x"), (2, "", "u", None), (3, "<article", None, None), (3, "<article", None, None), (None, "plain text", "", None), (5, long, "", None), (6, "<div" * 3000, "", None), (7, "<div>" * 3000 + "deep", "", None)]
-    df = spark.createDataFrame(rows, "page_id long, html string, url string, main_text string")
+    df = spark.createDataFrame(rows, "page_id long, html string, url string, main_text string").withColumn("__html", F.col("url"))
     out = mainhtml.extract_main(df, trees, spans="parts")
-    assert out.columns == ["page_id", "html", "url", "main_text", "parts"]
+    assert out.columns == ["page_id", "html", "url", "__html", "main_text", "parts"]
     got = out.collect()
+    assert all(r["__html"] == r.url for r in got)
     assert len(got) == len(rows) and all(r.main_text == " ".join(r.parts) for r in got)
     by = {r.page_id: r.main_text for r in got}
     assert by[1] == by[2] == by[3] == "" and by[5] == ("word, word. " * 20000).strip()
