@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import slices, texts_of
+from tessera.llm.common import bounded, free_name, slices, texts_of
 
-#: Most test items an index takes: it is sent to every executor.
-MOST_ITEMS = 200_000
+#: Most test items, and most bytes of their texts, that an index takes: it is sent to every executor (about 40 bytes in an index for one of a text).
+MOST_ITEMS, MOST_BYTES = 200_000, 8 << 20
 BLOCK = 4
 _WORD = re.compile(r"\w+")
 _ANSWER = re.compile(r"\n\s*answer\s*:|\n(?=[^\n]*\Z)", re.I)
@@ -137,20 +137,24 @@ class Index:
             live = [i for i in live if place[i] < len(lists[i][0])]
         return out
 
-    def verify(self, words: list[str], item: int, overlap: float, gram: int) -> bool:
-        """Whether the words hold ``overlap`` of the grams of the item's question or, where that has a gram, of its answer."""
+    def shares(self, words: list[str], item: int, gram: int) -> tuple[float, float]:
+        """The shares of the grams of the item's question and of its answer that the words hold; 0 for a part that has no gram to be told by."""
+        out = []
         for part in self.parts[item]:
             n = gram_size(part, self.parts[item][0], gram)
-            if not n:
-                continue
-            grams = {tuple(part[i : i + n]) for i in range(len(part) - n + 1)}
-            if len(grams & {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}) >= overlap * len(grams):
-                return True
-        return False
+            grams = {tuple(part[i : i + n]) for i in range(len(part) - n + 1)} if n else set()
+            out.append(len(grams & {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}) / len(grams) if grams else 0.0)
+        return out[0], out[1]
+
+    def verify(self, words: list[str], item: int, overlap: float, gram: int, both: bool = False) -> tuple[float, float] | None:
+        """The shares of question and answer, if one of them (with ``both`` each that can be told) reaches ``overlap``; None otherwise."""
+        question, answer = self.shares(words, item, gram)
+        told = [x for part, x in zip(self.parts[item], (question, answer), strict=True) if gram_size(part, self.parts[item][0], gram)]
+        return (question, answer) if told and (all if both else any)(x >= overlap for x in told) else None
 
 
-def search(index: Index, text: str, passage: int, share: float, overlap: float, gram: int) -> list[tuple[int, int, int]]:
-    """(item number, first word, words) for each item that a passage of the text leaks, with the first such passage.
+def search(index: Index, text: str, passage: int, share: float, overlap: float, gram: int, both: bool = False) -> list[tuple[int, int, int, float, float]]:
+    """(item number, first word, words, share of question, of answer) for each item that a passage of the text leaks, with the first such passage.
 
     Passages are ``passage`` words long and start every half of that. What is retrieved is verified
     over the passage and as many words on either side as the item has.
@@ -163,7 +167,7 @@ def search(index: Index, text: str, passage: int, share: float, overlap: float,
     step = max(1, passage // 2)
     count = max(1, -(-(len(words) - step) // step))
     padded = np.concatenate([terms, np.full((count + 1) * step - len(terms) + passage, none)])
-    found: dict[int, tuple[int, int]] = {}
+    found: dict[int, tuple[int, int, float, float]] = {}
     for low in range(0, count, 512):
         starts = np.arange(low, min(count, low + 512)) * step
         sets = np.sort(padded[starts[:, None] + np.arange(passage)], axis=1)
@@ -177,36 +181,39 @@ def search(index: Index, text: str, passage: int, share: float, overlap: float,
                     item = int(index.unit_item[unit])
                     if item not in found:
                         size = len(index.parts[item][0]) + len(index.parts[item][1])
-                        if index.verify(words[max(0, starts[k] - size) : starts[k] + passage + size], item, overlap, gram):
-                            found[item] = (int(starts[k]), int(min(passage, len(words) - starts[k])))
-    return sorted((i, a, n) for i, (a, n) in found.items())
+                        held = index.verify(words[max(0, starts[k] - size) : starts[k] + passage + size], item, overlap, gram, both)
+                        if held:
+                            found[item] = (int(starts[k]), int(min(passage, len(words) - starts[k])), *held)
+    return sorted((i, *x) for i, x in found.items())
 
 
-def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", passage: int = 64, share: float = 0.5, overlap: float = 0.5, gram: int = 5, output: str = "leaks") -> DataFrame:
-    """Add ``output``: for each document the items that one of its passages leaks, as (item_id, first_word, words).
+def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", passage: int = 64, share: float = 0.5, overlap: float = 0.5, gram: int = 5, output: str = "leaks", both: bool = False) -> DataFrame:
+    """Add ``output``: for each document the items that one of its passages leaks, as (item_id, first_word, words, question, answer), the last two the shares that it holds of them.
 
     A passage is retrieved for an item with a score of ``share`` of the item's score for itself, and
-    kept if it holds ``overlap`` of the ``gram``-word grams of the item's question or answer. Null and
+    kept if it holds ``overlap`` of the ``gram``-word grams of the item's question or of its answer:
+    either alone spoils the item. With ``both`` it must hold that much of each that has such grams. Null and
     empty texts leak nothing; items with a null id or without words are left out; repeated items
-    count each. More than ``MOST_ITEMS`` items are an error. A map over the documents without a
+    count each. More than ``MOST_ITEMS`` items, or ``MOST_BYTES``, are an error. A map over the documents without a
     shuffle; other columns pass through, one named as the output is replaced.
     """
     rows = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).limit(MOST_ITEMS + 1).toArrow()
-    if rows.num_rows > MOST_ITEMS:
-        raise ValueError(f"more than {MOST_ITEMS} test items")
+    if rows.num_rows > MOST_ITEMS or rows["t"].nbytes > MOST_BYTES:
+        raise ValueError(f"more than {MOST_ITEMS} test items or {MOST_BYTES} bytes: search them in parts, and union the leaks")
     listed = sorted((i, t) for i, t in zip(rows["i"].to_pylist(), rows["t"].to_pylist(), strict=True) if words_of(t))
     index = Index.build(listed, gram=gram)
     sent = documents.sparkSession.sparkContext.broadcast(index)
     kept = [c for c in documents.columns if c.lower() != output.lower()]
     source = documents.select(*[F.col(f"`{c}`") for c in kept])
-    entry = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("first_word", T.LongType()), T.StructField("words", T.LongType())])
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int64()), ("words", pa.int64())]))
+    hidden = free_name(source, "__text")
+    entry = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("first_word", T.LongType()), T.StructField("words", T.LongType()), T.StructField("question", T.DoubleType()), T.StructField("answer", T.DoubleType())])
+    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int64()), ("words", pa.int64()), ("question", pa.float64()), ("answer", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
         for whole in batches:
             for batch in slices(whole):
-                made = [[{"item_id": index.ids[i], "first_word": a, "words": n} for i, a, n in search(index, t, passage, share, overlap, gram)] for t in texts_of(batch, "__text")]
+                made = [[{"item_id": index.ids[i], "first_word": a, "words": n, "question": q, "answer": r} for i, a, n, q, r in search(index, t, passage, share, overlap, gram, both)] for t in texts_of(batch, hidden)]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(made, kind)], names=[*kept, output])
 
-    return source.withColumn("__text", F.col(f"`{text}`")).mapInArrow(run, T.StructType([*source.schema.fields, T.StructField(output, T.ArrayType(entry), False)]))
+    return bounded(source).withColumn(hidden, F.col(f"`{text}`")).mapInArrow(run, T.StructType([*source.schema.fields, T.StructField(output, T.ArrayType(entry), False)]))
