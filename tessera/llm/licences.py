@@ -3,9 +3,10 @@
 A text is split where a sentence ends, at lines without a word and at line breaks; each sentence is
 normalised (lower case, letters and digits, single blanks) and looked up among known licence
 sentences, which may run over ``;``, ``:`` and single line breaks, so wrapped ones and ones in
-comments count. Known are notices of Apache-2.0, BSD-2-Clause, BSD-3-Clause, CC-BY-4.0, CC-BY-NC-4.0,
-CC-BY-SA-4.0, CC0-1.0, GPL-2.0, GPL-3.0(-or-later), MIT and "all rights reserved"; others (LGPL, AGPL,
-MPL, ISC, Unlicense ...) are not found. What is known, in
+comments count. Known are notices of AGPL-3.0(-or-later), Apache-2.0, BSD-2-Clause, BSD-3-Clause,
+BSL-1.0, CC-BY-4.0, CC-BY-NC-4.0, CC-BY-SA-4.0, CC0-1.0, EPL-2.0, GPL-2.0, GPL-3.0(-or-later), ISC,
+LGPL-2.1(-or-later), LGPL-3.0(-or-later), MIT, MPL-2.0, Unlicense, Zlib and "all rights reserved";
+others are not found. What is known, in
 order, is the text's identifier sequence; a rule is a run of identifiers, and it matches where the
 sequence holds that run. A rule within a longer matching rule does not count. Built-in expressions
 only, so a scan is one pass without a shuffle.
@@ -59,6 +60,31 @@ SENTENCES = {
     "cc_by_sa_notice": ["licensed under cc by sa 4 0", "released under cc by sa 4 0", "this work is licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"],
     "cc0_notice": ["released under cc0 1 0", "licensed under cc0 1 0", "this work is released under the cc0 1 0 license"],
     "all_rights": ["all rights reserved"],
+    "agpl_free": ["this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "agpl_details": ["see the gnu affero general public license for more details"],
+    "agpl3_notice": ["licensed under the gnu affero general public license version 3", "released under the gnu affero general public license version 3", "this work is licensed under the gnu affero general public license version 3", "this program is licensed under the gnu affero general public license version 3"],
+    "bsl_grant": [
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"
+    ],
+    "bsl_notice": ["distributed under the boost software license version 1 0", "licensed under the boost software license version 1 0"],
+    "epl_notice": ["licensed under the eclipse public license 2 0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0"],
+    "isc_grant": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
+    "isc_as_is": ["the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"],
+    "isc_notice": ["licensed under the isc license", "released under the isc license", "this work is licensed under the isc license", "isc license"],
+    "lgpl21_free": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"],
+    "lgpl3_free": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "lgpl_hope": ["this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
+    "lgpl_details": ["see the gnu lesser general public license for more details"],
+    "lgpl21_notice": ["licensed under the gnu lesser general public license version 2 1", "released under the gnu lesser general public license version 2 1", "this work is licensed under the gnu lesser general public license version 2 1"],
+    "lgpl3_notice": ["licensed under the gnu lesser general public license version 3", "released under the gnu lesser general public license version 3", "this work is licensed under the gnu lesser general public license version 3"],
+    "mpl_terms": ["this source code form is subject to the terms of the mozilla public license v"],
+    "mpl_copy": ["if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"],
+    "mpl_notice": ["licensed under the mozilla public license version 2 0", "released under the mozilla public license version 2 0", "this work is licensed under the mozilla public license version 2 0", "mozilla public license version 2 0"],
+    "unlicense_domain": ["this is free and unencumbered software released into the public domain"],
+    "unlicense_anyone": ["anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"],
+    "zlib_as_is": ["this software is provided as is without any express or implied warranty"],
+    "zlib_damages": ["in no event will the authors be held liable for any damages arising from the use of this software"],
+    "zlib_grant": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"],
 }
 # Rules as runs of identifiers, with the licence each stands for.
 RULES = [
@@ -76,9 +102,24 @@ RULES = [
     ("MIT", ["mit_grant", "mit_keep", "as_is"]),
     ("MIT", ["mit_notice"]),
     ("proprietary", ["all_rights"]),
+    ("AGPL-3.0-or-later", ["agpl_free", "gpl_hope", "agpl_details"]),
+    ("AGPL-3.0", ["agpl3_notice"]),
+    ("BSL-1.0", ["bsl_grant"]),
+    ("BSL-1.0", ["bsl_notice"]),
+    ("EPL-2.0", ["epl_notice"]),
+    ("ISC", ["isc_grant", "isc_as_is"]),
+    ("ISC", ["isc_notice"]),
+    ("LGPL-2.1-or-later", ["lgpl21_free", "lgpl_hope", "lgpl_details"]),
+    ("LGPL-3.0-or-later", ["lgpl3_free", "lgpl_hope", "lgpl_details"]),
+    ("LGPL-2.1", ["lgpl21_notice"]),
+    ("LGPL-3.0", ["lgpl3_notice"]),
+    ("MPL-2.0", ["mpl_terms", "mpl_copy"]),
+    ("MPL-2.0", ["mpl_notice"]),
+    ("Unlicense", ["unlicense_domain", "unlicense_anyone"]),
+    ("Zlib", ["zlib_as_is", "zlib_damages", "zlib_grant"]),
 ]
 #: Every known sentence holds one of these, so a text without any is not split.
-MARKERS = ("licen", "permi", "redistribut", "warrant", "cc", "reserved")
+MARKERS = ("licen", "permi", "redistribut", "warrant", "cc", "reserved", "mpl", "unencumbered", "anyone is free", "damages")
 SPLIT = r"[\n\r]+|[.!?;:]+(\s+|$)"
 #: Lines without a word, where ``;`` or ``:`` ends a part of a sentence, and where a sentence ends; they and single line breaks become the marks below.
 BLANK, JOINT, END = r"\n[^a-z0-9]*\n", r"(?<![.!?;:])[;:]++(?:\s++|$)", r"(?<![.!?;:])[.!?;:]++(?:\s++|$)"
