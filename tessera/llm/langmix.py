@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import slices, texts_of
+from tessera.llm.common import bounded, free_name, slices, texts_of
 
 BITS = 17
 #: Bytes that are no part of a letter become blanks; bytes over 127 belong to letters here.
@@ -136,13 +136,14 @@ def predict(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_p
     if shares:
         fields.append(T.StructField(shares, T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())]))))
     sent = df.sparkSession.sparkContext.broadcast((model.langs, model.table))
+    hidden = free_name(source, "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*sent.value)
         for whole in batches:
             for batch in slices(whole):
                 found = []
-                texts = texts_of(batch, "__text")
+                texts = texts_of(batch, hidden)
                 for t, mix in zip(texts, model.mixtures(texts), strict=True):
                     if not mix:
                         mix = [(model.langs[0], 0.0)] if model.langs and any(map(str.isalpha, t)) else [("und", 0.0)]
@@ -154,4 +155,4 @@ def predict(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_p
                     columns.append(pa.array([[{"lang": k, "share": s} for k, s in m] for m in found], kind))
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *columns], names=[*kept, *outputs])
 
-    return source.withColumn("__text", F.col(f"`{text}`")).mapInArrow(run, T.StructType([*source.schema.fields, *fields]))
+    return bounded(source).withColumn(hidden, F.col(f"`{text}`")).mapInArrow(run, T.StructType([*source.schema.fields, *fields]))

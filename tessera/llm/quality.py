@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import crc_remainder, slices, texts_of
+from tessera.llm.common import bounded, crc_remainder, free_name, slices, texts_of
 
 BITS = 20
 MEMO_ENTRIES = 400_000
@@ -31,12 +31,14 @@ _SHAPE = (
     (re.compile(r"\d+"), "0"),
 )
 
+_RUN = re.compile(r"(.)\1{2,}", re.S)
+
 
 def shape(word: str) -> str:
-    """Lower-case runs as a, a capital as A, more capitals as B, digits as 0; other characters stay, eight at most."""
+    """Lower-case runs as a, a capital as A, more capitals as B, digits as 0; other characters stay, a run of one character as that character once more than once."""
     for pattern, sign in _SHAPE:
         word = pattern.sub(sign, word)
-    return word[:8]
+    return _RUN.sub(r"\1\1", word)
 
 
 class _Words(dict):
@@ -169,13 +171,14 @@ def score(df: DataFrame, model: Model, text: str = "text", output: str = "qualit
     weights = df.sparkSession.sparkContext.broadcast((model.weights, model.bias))
     kept = [c for c in df.columns if c.lower() != output.lower()]
     source = df.select(*[F.col(f"`{c}`") for c in kept])
-    reads = source.withColumn("__text", F.col(f"`{text}`")) if text in kept else source.withColumn("__text", F.lit(None).cast("string"))
+    hidden = free_name(source, "__text")
+    reads = bounded(source).withColumn(hidden, F.col(f"`{text}`") if text in kept else F.lit(None).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*weights.value)
         for whole in batches:
             for batch in slices(whole):
-                scores = pa.array([model.score(t) for t in texts_of(batch, "__text")], pa.float64())
+                scores = pa.array([model.score(t) for t in texts_of(batch, hidden)], pa.float64())
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], scores], names=[*kept, output])
 
     return reads.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField(output, T.DoubleType(), False)]))

@@ -1,9 +1,8 @@
+import math
 import zlib
 
-from pyspark.sql import functions as F
-
 from tessera.llm import langmix, quality
-from tests.conftest import SF01
+from tests.conftest import SF, SF01
 
 SCHEMA = "doc_id long, text string, lang string, quality_score string, __text string"
 ROWS = [(1, "the cat sat", "en", "x", "y"), (1, "the cat sat", "en", "x", "y"), (2, None, None, None, None), (None, "", "en", "a", "b"), (3, "1 2 3 !!", "de", None, None), (4, "der Hund " * 20000, "de", None, None)]
@@ -29,6 +28,76 @@ def test_ftrl_learns_a_separable_set():
     assert m.score("plain good words") > 0.7 > 0.3 > m.score("JUNK!! WORDS!!")
 
 
+def plain_score(model, text):
+    """Every gram one after another: the share of each slot in its series, times its weight."""
+    z = model.bias
+    for series in quality.grams(text or ""):
+        counts = {}
+        for slot in series.tolist():
+            counts[slot] = counts.get(slot, 0) + 1
+        z += sum(n / len(series) * float(model.weights[slot]) for slot, n in counts.items())
+    return 1 / (1 + math.exp(-min(50, max(-50, z))))
+
+
+def test_quality_query_equals_scoring_gram_by_gram(spark):
+    from tessera.llm.queries import op6_quality
+
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{SF01}/labels.parquet"))
+    want = {r.doc_id: plain_score(model, r.text) for r in docs.collect()}
+    got = {r.doc_id: r.score for r in op6_quality(spark, SF01).collect()}
+    assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-5 for i in want)
+
+
+def plain_mixture(model, text, rounds=10, penalty=2.0, least=0.02):
+    """The mixture of one text with words as lists: the same steps in plain loops."""
+    b, _ = langmix.letters([text or ""])
+    slots, at = langmix.grams(b)
+    words = []
+    for s, p in zip(slots.tolist(), at.tolist()):
+        if b[p - 1] == 32:
+            words.append([0.0] * len(model.langs))
+        words[-1] = [x + float(y) for x, y in zip(words[-1], model.table[s])]
+    if not words:
+        return None
+    like = [[math.exp(x - max(w)) + 1e-12 for x in w] for w in words]
+
+    def fitted(columns):
+        share = [1 / len(columns)] * len(columns)
+        for _ in range(rounds if len(columns) > 1 else 0):
+            total = [0.0] * len(columns)
+            for w in like:
+                p = sum(s * w[c] for s, c in zip(share, columns))
+                total = [t + s * w[c] / p for t, s, c in zip(total, share, columns)]
+            share = [t / len(like) for t in total]
+        return share, sum(math.log(sum(s * w[c] for s, c in zip(share, columns))) for w in like)
+
+    share, _ = fitted(list(range(len(model.langs))))
+    order = sorted(range(len(model.langs)), key=lambda i: -share[i])
+    best = None
+    for k in range(1, max(1, sum(s >= least for s in share)) + 1):
+        s, fit = fitted(order[:k])
+        value = fit - penalty * k * math.log(len(like) + 1)
+        if best is None or value > best[0]:
+            best = (value, sorted(zip((model.langs[i] for i in order[:k]), s), key=lambda x: (-x[1], x[0])))
+    return best[1][0]
+
+
+def test_language_query_equals_plain_expectation_maximisation(spark):
+    from tessera.llm.common import crc_remainder
+    from tessera.llm.queries import op8_language
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langmix.fit(docs.where(crc_remainder("doc_id", 4) != 2))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in op8_language(spark, SF).collect()}
+    for r in docs.collect():
+        want = plain_mixture(model, r.text)
+        if want is None or not any(map(str.isalpha, r.text)):
+            assert got[r.doc_id][0] == "und"
+        else:
+            assert got[r.doc_id][0] == want[0] and abs(got[r.doc_id][1] - min(1.0, want[1])) < 1e-4
+
+
 def test_quality_edge_rows(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
     labels = spark.createDataFrame([(1, 1), (1, 1), (4, 0), (None, 1), (9, None), (2, 0)], "doc_id long, quality int")
@@ -36,6 +105,7 @@ def test_quality_edge_rows(spark):
     assert out.columns == ["doc_id", "text", "lang", "__text", "quality_score"]
     rows = out.collect()
     assert len(rows) == len(ROWS) and all(0 <= r.quality_score <= 1 for r in rows)
+    assert sorted(map(str, (r["__text"] for r in rows))) == sorted(map(str, (r[4] for r in ROWS)))
     empty = quality.fit(df, labels.where("false"))
     assert {r.quality_score for r in quality.score(df, empty).collect()} == {0.5}
     assert quality.score(df.where("false"), empty).count() == 0
@@ -60,6 +130,7 @@ def test_mixture_shares_and_edge_rows(spark):
     assert mixed[1] == [] and mixed[2][0][0] == "de"
     out = langmix.predict(docs, model, shares="parts")
     by = {(r.doc_id, r.text and r.text[:9]): r for r in out.collect()}
+    assert by[1, "the cat s"]["__text"] == "y"
     assert by[2, None].lang_pred == by[None, ""].lang_pred == by[3, "1 2 3 !!"].lang_pred == "und"
     assert by[4, "der Hund "].lang_pred == "de" and by[1, "the cat s"].lang_pred == "en"
     none = langmix.fit(docs.where("false"))

@@ -52,7 +52,22 @@ BSD2 = [
     "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
 ]
 BSD3 = BSD2 + ["3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."]
-NOTICES = {"GPL-3.0-or-later": GPL3, "MIT": MIT, "Apache-2.0": APACHE, "BSD-2-Clause": BSD2, "BSD-3-Clause": BSD3}
+LGPL21 = [GPL3[0].replace("program", "library").replace("General", "Lesser General").replace("version 3", "version 2.1"), GPL3[1].replace("program", "library").replace("General", "Lesser General")]
+AGPL = [GPL3[0].replace("General", "Affero General"), GPL3[1].replace("General", "Affero General")]
+MPL = ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."]
+ISC = [
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE.',
+]
+ZLIB = [
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+]
+UNLICENSE = ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."]
+BOOST = [
+    'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:'
+]
+NOTICES = {"LGPL-2.1-or-later": LGPL21, "AGPL-3.0-or-later": AGPL, "MPL-2.0": MPL, "ISC": ISC, "Zlib": ZLIB, "Unlicense": UNLICENSE, "BSL-1.0": BOOST, "GPL-3.0-or-later": GPL3, "MIT": MIT, "Apache-2.0": APACHE, "BSD-2-Clause": BSD2, "BSD-3-Clause": BSD3}
 
 
 def licences_of(spark, texts):
@@ -130,7 +145,7 @@ def test_each_part_is_found_alone():
         for part in (q, a):
             for before in (0, 13, 24, 31):
                 text = " ".join(fill[:before] + part + fill)
-                got = {i for i, _, _ in decontam.search(index, text, 64, 0.5, 0.5, 5)}
+                got = {i for i, *_ in decontam.search(index, text, 64, 0.5, 0.5, 5)}
                 assert got == verified(index, text) == ({k} if part and (part is q or len(a) >= min(5, len(q))) else set())
 
 
@@ -156,6 +171,15 @@ def test_decontamination_edge_rows(spark):
         by.setdefault(r.doc_id, []).append({x.item_id for x in r.leaks})
     assert by == {1: [set()], 2: [set()], 3: [{7}, {7}], None: [{7}], 4: [set()], 5: [{7}], 6: [set()]}
     assert decontam.leaks(df, items.where("false")).where("size(leaks) > 0").count() == 0
+    # with both, a document that holds the answer alone keeps the item clean
+    strict = {r.doc_id: [(x.item_id, x.question, x.answer) for x in r.leaks] for r in decontam.leaks(df, items, both=True).collect()}
+    assert strict[5] == [] and strict[3] == [(7, 1.0, 1.0)] * 2
+
+
+def test_columns_of_the_operators_own_names_keep_their_values(spark):
+    df = spark.createDataFrame([(1, "mit license", "mine", "too")], "doc_id long, text string, __text string, __text_ string")
+    items = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    assert tuple(decontam.leaks(df, items).first())[:4] == (1, "mit license", "mine", "too")
     assert decontam.leaks(df.where("false"), items).count() == 0
 
 
