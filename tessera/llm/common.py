@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -53,10 +54,18 @@ def discard(*tables: DataFrame) -> None:
             hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
             hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
     if spark:
-        gc.collect()
+        trim()
         spark._jvm.System.gc()
 
 
+def trim() -> None:
+    """Give the driver's freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
     """Fewer rows and bytes in an Arrow batch while a step runs: long texts would else stand in memory several times over."""

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import bounded, crc_remainder, free_name, slices, texts_of
+from tessera.llm.common import bounded, crc_remainder, free_name, slices, texts_of, trim
 
 BITS = 20
 MEMO_ENTRIES = 400_000
@@ -104,6 +104,7 @@ def train_ftrl(
     for _ in range(passes):
         for r in rng.permutation(len(rows)):
             slots, values, label = rows[r]
+            values = values.astype(np.float64)
             zs, ns = z[slots], n[slots]
             w = np.where(np.abs(zs) <= l1, 0.0, -(zs - np.sign(zs) * l1) / ((beta + np.sqrt(ns)) / alpha + l2))
             bias = -bias_z / ((beta + np.sqrt(bias_n)) / alpha + l2)
@@ -153,13 +154,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
                     names=["id", "label", "slots", "values"],
                 )
 
-    got = chosen.mapInArrow(vectors, "id long, label int, slots array<int>, values array<float>").toArrow().sort_by([("id", "ascending")])
+    got = chosen.mapInArrow(vectors, "id long, label int, slots array<int>, values array<float>").toArrow()
+    # the vectors stay in Arrow's buffers: a row is a view, in the order of ids; of rows of one id the one with the least vector counts
     rows: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
-    for i, y, slots, values in zip(got["id"].to_pylist(), got["label"].to_pylist(), got["slots"], got["values"], strict=True):
-        rows.setdefault(i, (slots.values.to_numpy().astype(np.int64), values.values.to_numpy().astype(np.float64), y))
-    if not rows:
-        return Model(np.zeros(1 << BITS, np.float32), 0.0)
-    return train_ftrl(list(rows.values()))
+    for batch in got.to_batches():
+        parts = [(batch.column(c).values.to_numpy(), batch.column(c).offsets.to_numpy()) for c in ("slots", "values")]
+        for k, (i, y) in enumerate(zip(batch.column("id").to_pylist(), batch.column("label").to_pylist(), strict=True)):
+            slots, values = (x[at[k] : at[k + 1]] for x, at in parts)
+            if i not in rows or (len(slots), slots.tobytes(), values.tobytes()) < (len(rows[i][0]), rows[i][0].tobytes(), rows[i][1].tobytes()):
+                rows[i] = (slots, values, y)
+    model = train_ftrl([rows[i] for i in sorted(rows)]) if rows else Model(np.zeros(1 << BITS, np.float32), 0.0)
+    del got, rows
+    trim()
+    return model
 
 
 def score(df: DataFrame, model: Model, text: str = "text", output: str = "quality_score") -> DataFrame:
