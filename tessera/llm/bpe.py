@@ -31,8 +31,8 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import bounded, free_name, slices, texts_of
 
-#: Entries of each memo table before it is emptied: bounds a worker's memory.
-MEMO_ENTRIES = 400_000
+#: Entries of the memo tables (of pieces, of states, of kept boundaries) before they are emptied: they bound a worker's memory to about 200 MB.
+PIECES, STATES, BOUNDARIES = 300_000, 120_000, 150_000
 #: Bytes that the UTF-8 machine is fed at a time.
 DECODED = 1 << 16
 #: Bytes between two looks for a settled boundary.
@@ -78,7 +78,7 @@ class Transducer:
                 if len(parts) == 2 and parts[0] + parts[1] == token:
                     self.made_of[token] = (parts[0], parts[1])
                     self.token_at[node] = token
-        self.kept = lru_cache(MEMO_ENTRIES)(self._kept)
+        self.kept = lru_cache(BOUNDARIES)(self._kept)
         self.reset()
 
     def reset(self) -> None:
@@ -193,7 +193,7 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > MEMO_ENTRIES:
+        if len(self.states) > STATES:
             self.reset()
         out: list[int] = []
         state, moves = 0, self.moves
@@ -219,7 +219,7 @@ class _Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         ids = np.asarray(self.transducer.encode(piece.encode()), np.int32).tobytes()
-        if len(self) >= 2 * MEMO_ENTRIES:
+        if len(self) >= PIECES:
             self.clear()
         if len(piece) <= 64:
             self[piece] = ids

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from tessera.llm.common import bounded, crc_remainder, free_name, slices, texts_of, trim
 
 BITS = 20
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 150_000
 _SHAPE = (
     (re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), "a"),
     (re.compile(r"[A-ZÀ-ÖØ-Þ]{2,}"), "B"),
