@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import bounded, free_name, slices, texts_of
+from tessera.llm.common import bounded, free_name, slices, texts_of, trim
 
 #: Entries of the memo tables (of pieces, of states, of kept boundaries) before they are emptied: they bound a worker's memory to about 200 MB.
 PIECES, STATES, BOUNDARIES = 300_000, 120_000, 150_000
@@ -377,6 +377,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
     schema = T.StructType([*df.select(*[F.col(f"`{c}`") for c in kept]).schema.fields, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()  # of what other steps left in this worker
         tok = tokenizer(ranks_path, pattern)
         for whole in batches:
             for batch in slices(whole):

@@ -59,7 +59,7 @@ def discard(*tables: DataFrame) -> None:
 
 
 def trim() -> None:
-    """Give the driver's freed memory back to the system."""
+    """Give this process's freed memory back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):  # other C libraries have no such call
