@@ -35,8 +35,8 @@ def active(pairs: DataFrame, sigma: str, q: str | None = None) -> DataFrame:
 
 
 def top_by(pairs: DataFrame, by: str, n: int, protected: str | None = None, score: str = "score", pos: str = "pos") -> DataFrame:
-    """``n`` rows of each source or target: protected ones, then by score, ties by input position."""
-    order = ([F.desc(protected)] if protected else []) + [F.desc(score), F.asc(pos)]
+    """``n`` rows of each source or target: protected ones, then by score, ties by input position, then to the smaller other end."""
+    order = ([F.desc(protected)] if protected else []) + [F.desc(score), F.asc(pos), *[F.asc(k) for k in KEY if k != by]]
     return pairs.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("__r") <= n).drop("__r")
 
 

@@ -196,3 +196,12 @@ def test_incremental_scoring(spark, tmp_path):
     spark.range(5, 8).write.mode("append").parquet(str(tmp_path / "in"))
     run()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 8
+
+
+def test_ties_in_score_and_position_go_to_the_smaller_other_end(spark):
+    none = spark.createDataFrame([], "src long, tgt long, score double, pos long")
+    for turn in (1, -1):
+        rows = [(1, 7, 0.5, 3), (1, 5, 0.5, 3), (1, 6, 0.5, 3), (2, 6, 0.5, 3)][::turn]
+        preds = spark.createDataFrame(rows, "src long, tgt long, score double, pos long").coalesce(1)
+        assert [(r.src, r.tgt) for r in P.final_alignment(preds, none, 1, None).orderBy("src").collect()] == [(1, 5), (2, 6)]
+        assert [(r.src, r.tgt) for r in P.top_by(preds, "tgt", 1).orderBy("tgt").collect()] == [(1, 5), (1, 6), (1, 7)]
