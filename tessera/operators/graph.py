@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -59,6 +60,17 @@ def neighbourhood(edges: DataFrame, starts: DataFrame, hops: int = 1, include_re
     return out if include_reverse else out.where("src = start OR dst = start")
 
 
+def forward_edges(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
+    """(start, src, rel, dst): distinct edges with both ends within ``hops`` steps along edges from a start: all that paths of as many edges can follow, and none of what only shares a hub with the start."""
+    along = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
+    reach = front = starts.select(F.col("node").alias("start"), F.col("node")).distinct()
+    for _ in range(hops):
+        front = front.join(along, front.node == along.a).select("start", F.col("b").alias("node")).distinct()
+        reach = reach.unionByName(front).distinct()
+    inside = edges.distinct().join(reach.withColumnRenamed("node", "src"), "src").join(reach.withColumnRenamed("node", "dst"), ["start", "dst"])
+    return inside.select("start", "src", "rel", "dst")
+
+
 def labels(entities: DataFrame, annotations: DataFrame, prop: str = "label") -> DataFrame:
     """Labels of each entity in order, or its short form."""
     own = annotations.where(F.col("prop") == prop).groupBy("iri").agg(F.array_sort(F.collect_set("value")).alias("labels"))
@@ -151,9 +163,9 @@ def distances(edges: DataFrame, pairs: DataFrame, most: int = 4) -> DataFrame:
 class _Edges:
     """A start's edges by their source: from node to (edge numbers)."""
 
-    def __init__(self, rows: pd.DataFrame):
-        self.ends = list(zip(rows["src"], rows["dst"], strict=True))
-        self.ic, self.cost = rows["ic"].to_numpy(float), rows["cost"].to_numpy(int)
+    def __init__(self, rows: list[dict]):
+        self.ends = [(e["src"], e["dst"]) for e in rows]
+        self.ic, self.cost = np.array([e["ic"] for e in rows], float), np.array([e["cost"] for e in rows], int)
         self.out: dict[str, list[int]] = {}
         for i, (a, _) in enumerate(self.ends):
             self.out.setdefault(a, []).append(i)
@@ -240,7 +252,7 @@ def _stepwise(edges: _Edges, start: str, hops: int, used: set[int], left: float,
 METHODS = {"dp": _labelled, "lagrangian": _relaxed, "local": _stepwise}
 
 
-def _cover(rows: pd.DataFrame, start: str, budget: int, alpha: float, hops: int, method: str) -> list[tuple[str, str, str]]:
+def _cover(rows: list[dict], start: str, budget: int, alpha: float, hops: int, method: str) -> list[tuple[str, str, str]]:
     """Best paths from the start, one after another, until one adds no cost or doesn't fit."""
     edges, used, left = _Edges(rows), [], budget
     while left > 0 and len(rows):
@@ -251,22 +263,43 @@ def _cover(rows: pd.DataFrame, start: str, budget: int, alpha: float, hops: int,
             break
         used += fresh
         left -= spent
-    return [tuple(rows.iloc[i][["src", "rel", "dst"]]) for i in used]
+    return [(rows[i]["src"], rows[i]["rel"], rows[i]["dst"]) for i in used]
 
 
 def greedy_context(context: DataFrame, budget: int, alpha: float = 0.1, hops: int = 6, method: str = "dp") -> DataFrame:
     """For each start of (start, src, rel, dst, ic, cost) the edges that paths along them, of ``hops`` edges at most, cover within a budget of cost.
 
     ``method`` finds each path: ``dp`` (G5), ``lagrangian`` (G6) or ``local`` (G7). A start's
-    neighbourhood is bounded by its hops, so a group is one entity's.
+    neighbourhood is bounded by its hops, so a group is one entity's; groups are read one after
+    another from sorted partitions.
     """
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["src", "rel", "dst"]).reset_index(drop=True)
-        got = _cover(rows, key[0], budget, alpha, hops, method)
-        return pd.DataFrame([(key[0], i, *e) for i, e in enumerate(got)], columns=["start", "pos", "src", "rel", "dst"])
-
-    return context.groupBy("start").applyInPandas(run, "start string, pos int, src string, rel string, dst string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, rows = None, []
+
+        def covered() -> list[tuple]:
+            return [(start, i, *e) for i, e in enumerate(_cover(rows, start, budget, alpha, hops, method))] if rows else []
+
+        def batch(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names)
+
+        for some in batches:
+            found = []
+            for e in some.to_pylist():
+                if rows and e["start"] != start:
+                    found += covered()
+                    rows = []
+                start = e["start"]
+                rows.append(e)
+            if found:
+                yield batch(found)
+        if found := covered():
+            yield batch(found)
+
+    names, kinds = ["start", "pos", "src", "rel", "dst"], [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
+    plain = context.select(*[F.col(c).cast("string") for c in ("start", "src", "rel", "dst")], F.col("ic").cast("double"), F.col("cost").cast("int"))
+    ordered = plain.repartition("start").sortWithinPartitions(*[F.asc_nulls_last(c) for c in ("start", "src", "rel", "dst")])
+    return ordered.mapInArrow(run, "start string, pos int, src string, rel string, dst string")
 
 
 def labelled_context(context: DataFrame, labels_of: DataFrame, all_labels: bool = False) -> DataFrame:

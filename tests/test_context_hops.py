@@ -25,3 +25,32 @@ def test_path_methods(spark):
     assert paths("local", 3, 2) == [("a", "d"), ("d", "e")]
     # edges point one way: nothing is reached against them
     assert G.greedy_context(context.where("src = 'b'"), 9, 0.0, 2).count() == 0
+
+
+def test_forward_edges_leave_out_what_shares_a_hub(spark):
+    hub = [(f"c{i}", "in", "n") for i in range(40)] + [("n", "of", "r"), ("r", "of", "w")]
+    edges = spark.createDataFrame(hub, "src string, rel string, dst string")
+    starts = edges.where("rel = 'in'").select(F.col("src").alias("node"))
+    context = G.forward_edges(edges, starts, 2)
+    assert {tuple(r) for r in context.collect()} == {(f"c{i}", *e) for i in range(40) for e in ((f"c{i}", "in", "n"), ("n", "of", "r"))}
+    scored = lambda rows: rows.withColumn("ic", F.length("dst") * 0.5).withColumn("cost", F.lit(3))
+    wide = scored(G.neighbourhood(edges, starts, 2))
+    for method in ("dp", "lagrangian", "local"):
+        cover = lambda rows: {tuple(r) for r in G.greedy_context(rows, 12, -1.0, 2, method).collect()}  # noqa: E731, B023
+        assert cover(scored(context)) == cover(wide) and len(cover(wide)) == 80
+
+
+def test_contexts_of_many_starts_stay_apart(spark):
+    rows = [(f"s{i}", f"s{i}", "r", f"t{k}", 1.0, 1) for i in range(3000) for k in range(5)]
+    context = spark.createDataFrame(rows, "start string, src string, rel string, dst string, ic double, cost int")
+    got = G.greedy_context(context, 5, 0.0, 1).groupBy("start").agg(F.count_distinct("dst").alias("n"), F.max("pos").alias("p")).collect()
+    assert len(got) == 3000 and {(r.n, r.p) for r in got} == {(5, 4)}
+
+
+def test_context_queries_make_rows_in_proportion_to_the_starts(spark):
+    """Neighbourhoods of two hops hold every customer of a nation for each of them."""
+    from tessera.plans import extended, registry
+    from tests.conftest import SF
+
+    context = extended._contexts(lambda n: registry.view(spark, SF, n))
+    assert context.groupBy("start").count().agg(F.max("count")).first()[0] <= 2
