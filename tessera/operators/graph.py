@@ -314,17 +314,31 @@ def labelled_context(context: DataFrame, labels_of: DataFrame, all_labels: bool
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 4) -> DataFrame:
-    """(start, node, d, path): a shortest undirected path from ``start`` to the nearest of its target nodes, the first of equal ones by name; none beyond ``most`` steps."""
-    both = symmetric(edges).select("a", "b").distinct()
-    front = pairs.select("start", F.col("start").alias("node")).distinct().withColumn("path", F.array("node"))
-    reach = checkpointed(front)
-    for _ in range(most):
-        step = front.join(both, front.node == both.a).select("start", F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path"))
-        step = step.groupBy("start", "node").agg(F.min("path").alias("path")).join(reach.select("start", "node"), ["start", "node"], "left_anti")
-        front = checkpointed(step)
-        reach = reach.unionByName(front)
-    found = reach.join(pairs.select("start", "node").distinct(), ["start", "node"]).withColumn("d", F.size("path") - 1)
-    return found.groupBy("start").agg(F.min_by(F.struct("node", "d", "path"), F.struct("d", "path")).alias("x")).select("start", "x.node", "x.d", "x.path")
+    """(start, node, d, path): a shortest undirected path from ``start`` to the nearest of its target nodes, the first of equal ones by name; none beyond ``most`` steps.
+
+    Half the steps are taken from the starts, half from the distinct targets, and they meet in the
+    middle, so that no start is paired with all that lies around its target. Each part of a shortest
+    path is the first by name of those with its ends, and so is the whole.
+    """
+    both = checkpointed(symmetric(edges).select("a", "b").distinct())
+    wanted = checkpointed(pairs.select("start", F.col("node").alias("target")).where("start IS NOT NULL AND target IS NOT NULL").distinct())
+
+    def grown(first: DataFrame, origin: str, steps: int, longer: Column) -> DataFrame:
+        front = first.select(F.col(origin), F.col(origin).alias("node")).distinct().withColumn("path", F.array("node"))
+        reach = checkpointed(front)
+        for _ in range(steps):
+            step = front.join(both, front.node == both.a).select(origin, F.col("b").alias("node"), longer.alias("path"))
+            front = checkpointed(step.groupBy(origin, "node").agg(F.min("path").alias("path")).join(reach.select(origin, "node"), [origin, "node"], "left_anti"))
+            reach = reach.unionByName(front)
+        return reach
+
+    near = most - most // 2
+    ahead = grown(wanted, "start", near, F.concat("path", F.array("b")))
+    back = grown(wanted, "target", most // 2, F.concat(F.array("b"), "path")).withColumnRenamed("path", "rest")
+    met = ahead.join(wanted, "start").join(back, ["target", "node"])
+    # the first ``near`` steps are the start's, so only paths that took all of them go on
+    met = met.where((F.size("rest") == 1) | (F.size("path") == near + 1)).withColumn("path", F.concat("path", F.slice("rest", F.lit(2), F.size("rest")))).withColumn("d", F.size("path") - 1)
+    return met.groupBy("start").agg(F.min_by(F.struct(F.col("target").alias("node"), "d", "path"), F.struct("d", "path")).alias("x")).select("start", "x.node", "x.d", "x.path")
 
 
 def is_subclass(rel: Column) -> Column:

@@ -54,3 +54,31 @@ def test_context_queries_make_rows_in_proportion_to_the_starts(spark):
 
     context = extended._contexts(lambda n: registry.view(spark, SF, n))
     assert context.groupBy("start").count().agg(F.max("count")).first()[0] <= 2
+
+
+def test_shortest_paths_meet_in_the_middle(spark):
+    import random
+    from itertools import product
+
+    rnd = random.Random(3)
+    names = [f"v{i}" for i in range(14)]
+    pairs = {tuple(rnd.sample(names, 2)) for _ in range(17)}
+    edges = spark.createDataFrame([(a, "r", b) for a, b in sorted(pairs)], "src string, rel string, dst string")
+    near = {n: sorted({b for a, b in pairs if a == n} | {a for a, b in pairs if b == n}) for n in names}
+    wanted = [(a, b) for a, b in product(names, names) if rnd.random() < 0.3]
+    for most in range(5):
+        want = {}
+        for start in names:
+            front, seen, found = {start: [start]}, {start}, []
+            for _ in range(most + 1):
+                found += [(len(p) - 1, p) for n, p in front.items() if (start, n) in wanted]
+                after = {}
+                for n, p in front.items():
+                    for b in near[n]:
+                        if b not in seen:
+                            after[b] = min(after.get(b, [*p, b]), [*p, b])
+                front, seen = after, seen | set(after)
+            if found:
+                want[start] = min(found)
+        got = G.shortest_paths(edges, spark.createDataFrame(wanted, "start string, node string"), most).collect()
+        assert {r.start: (r.d, r.path) for r in got} == want and all(r.path[-1] == r.node for r in got)
