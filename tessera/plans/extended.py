@@ -502,7 +502,7 @@ def _(v):
 SELECT s.iri AS src, t.iri AS tgt FROM c s JOIN c t ON s.b = t.b AND s.side = 0 AND t.side = 1 WHERE contains(s.b, ' ') AND s.a <> t.a""")
 def _(v):
     e = v("ent").select("iri", "label")
-    return R.exact_matches(e.where("iri % 2 = 0"), e.where("iri % 2 = 1"), True).where("near").select("src", "tgt")
+    return R.exact_matches(e.where("iri % 2 = 0"), e.where("iri % 2 = 1"), True, near_only=True).select("src", "tgt")
 
 
 @query("U4_X3_split_misses", """WITH o AS (SELECT g.src, g.tgt, EXISTS (FROM pairs c WHERE c.src = g.src AND c.tgt = g.tgt AND c.score >= 0.3e0) AS c, EXISTS (FROM preds p WHERE p.src = g.src AND p.tgt = g.tgt) AS p FROM gold g) SELECT c OR p AS oracle, p AS predicted, count(*) AS n FROM o GROUP BY ALL""")
