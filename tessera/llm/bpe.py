@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import bounded, free_name, slices, texts_of, trim
+from tessera.llm.common import bounded, free_name, held_by, slices, texts_of
 
 #: Entries of the memo tables (of pieces, of states, of kept boundaries) before they are emptied: they bound a worker's memory to about 200 MB.
 PIECES, STATES, BOUNDARIES = 300_000, 120_000, 150_000
@@ -348,15 +348,12 @@ class Utf8Machine:
         return rest.decode("utf-8", "replace")
 
 
-_TOKENIZERS: dict[tuple[str, str], Tokenizer] = {}
-
-
 def tokenizer(path: str, pattern: str) -> Tokenizer:
-    """One tokenizer for each rank file and Python worker."""
-    key = (path, pattern)
-    if key not in _TOKENIZERS:
-        _TOKENIZERS[key] = Tokenizer(load_ranks(path), pattern)
-    return _TOKENIZERS[key]
+    """One tokenizer for each rank file and Python worker, until another operator's step runs there."""
+    key, held = (path, pattern), held_by("bpe")
+    if key not in held:
+        held[key] = Tokenizer(load_ranks(path), pattern)
+    return held[key]
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids", decoded: str | None = None) -> DataFrame:
@@ -377,7 +374,6 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
     schema = T.StructType([*df.select(*[F.col(f"`{c}`") for c in kept]).schema.fields, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trim()  # of what other steps left in this worker
         tok = tokenizer(ranks_path, pattern)
         for whole in batches:
             for batch in slices(whole):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import bounded, crc_remainder, free_name, slices, texts_of, trim
+from tessera.llm.common import bounded, crc_remainder, free_name, held_by, slices, texts_of, trim
 
 BITS = 20
 MEMO_ENTRIES = 150_000
@@ -146,6 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     chosen = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(sample), "__id")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_by("quality")
         for whole in batches:
             for batch in slices(whole):
                 made = [_vector(t) for t in texts_of(batch, "__text")]
@@ -182,6 +183,7 @@ def score(df: DataFrame, model: Model, text: str = "text", output: str = "qualit
     reads = bounded(source).withColumn(hidden, F.col(f"`{text}`") if text in kept else F.lit(None).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_by("quality")
         model = Model(*weights.value)
         for whole in batches:
             for batch in slices(whole):

@@ -75,3 +75,14 @@ def test_query_matches_the_library_on_a_whole_table(spark, reference):
         ids = reference.encode_ordinary(texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_another_operators_step_drops_the_tokenizer():
+    import public_tokenizers
+
+    from tessera.llm import bpe, common
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    tok = bpe.tokenizer(path, public_tokenizers.PATTERN)
+    assert bpe.tokenizer(path, public_tokenizers.PATTERN) is tok and common._HELD == {"bpe": {(path, public_tokenizers.PATTERN): tok}}
+    assert common.held_by("quality") == {} and common._HELD == {"quality": {}}
