@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
@@ -29,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import bounded, free_name, held_by, slices, texts_of
+from tessera.llm.common import _HELD, bounded, free_name, held_by, slices, texts_of, tidy
 
-#: Entries of the memo tables (of pieces, of states, of kept boundaries) before they are emptied: they bound a worker's memory to about 200 MB.
+#: Entries of the memo tables (of pieces, of states, of kept boundaries) before they are emptied, as they are when a task ends: they bound a worker's memory to about 200 MB.
 PIECES, STATES, BOUNDARIES = 300_000, 120_000, 150_000
 #: Bytes that the UTF-8 machine is fed at a time.
 DECODED = 1 << 16
@@ -56,19 +57,19 @@ class Transducer:
         #: The trie of all tokens: node and byte to node; of each node the token that merges make there, its depth, parent and last byte, whether it goes on, and (made when asked for) the node of its longest shorter suffix.
         self.goto: dict[int, int] = {}
         self.token_at: list[bytes | None] = [None]
-        self.depth, self.above, self.goes_on, self.suffix = [0], [0], [False], [0]
+        self.depth, self.above, self.goes_on, self.suffix = array("i", [0]), array("q", [0]), bytearray(1), array("i", [0])
         for token in ranks:
             node = 0
             for byte in token:
                 key = node << 8 | byte
-                self.goes_on[node] = True
+                self.goes_on[node] = 1
                 after = self.goto.get(key)
                 if after is None:
                     after = self.goto[key] = len(self.token_at)
                     self.token_at.append(None)
                     self.depth.append(self.depth[node] + 1)
                     self.above.append(key)
-                    self.goes_on.append(False)
+                    self.goes_on.append(0)
                     self.suffix.append(-1)
                 node = after
             if len(token) == 1:
@@ -281,6 +282,12 @@ class Tokenizer:
             return self.finders[0](text)
         return self.finders[1 if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else 2](text)
 
+    def forget(self) -> None:
+        """Empty the memo tables; what was made from the ranks stays."""
+        self.pieces.clear()
+        self.pieces.transducer.reset()
+        self.pieces.transducer.kept.cache_clear()
+
     def encode_packed(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.find(text)))
 
@@ -356,6 +363,12 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
     return held[key]
 
 
+def forget() -> None:
+    """Empty the memo tables of this Python worker's tokenizers: it may idle while others work."""
+    for tok in _HELD.get("bpe", {}).values():
+        tok.forget()
+
+
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids", decoded: str | None = None) -> DataFrame:
     """Add ``ids``: the token ids of every whole text; ``decoded`` names a column for the text decoded from them again.
 
@@ -386,7 +399,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
                     columns.append(pa.array(tok.decode_batch(values, offsets), pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, *outputs])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run, forget), schema)
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids", text: str = "text") -> DataFrame:
@@ -403,4 +416,4 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids",
                 texts = tok.decode_batch(lists.flatten(), offsets)
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(texts, pa.string())], names=[*kept, text])
 
-    return bounded(df).select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+    return bounded(df).select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(tidy(run, forget), schema)

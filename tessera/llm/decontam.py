@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import bounded, free_name, slices, texts_of
+from tessera.llm.common import bounded, free_name, slices, texts_of, tidy
 
 #: Most test items, and most bytes of their texts, that an index takes: it is sent to every executor (about 40 bytes in an index for one of a text).
 MOST_ITEMS, MOST_BYTES = 200_000, 8 << 20
@@ -216,4 +216,4 @@ def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text:
                 made = [[{"item_id": index.ids[i], "first_word": a, "words": n, "question": q, "answer": r} for i, a, n, q, r in search(index, t, passage, share, overlap, gram, both)] for t in texts_of(batch, hidden)]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(made, kind)], names=[*kept, output])
 
-    return bounded(source).withColumn(hidden, F.col(f"`{text}`")).mapInArrow(run, T.StructType([*source.schema.fields, T.StructField(output, T.ArrayType(entry), False)]))
+    return bounded(source).withColumn(hidden, F.col(f"`{text}`")).mapInArrow(tidy(run), T.StructType([*source.schema.fields, T.StructField(output, T.ArrayType(entry), False)]))

@@ -86,3 +86,35 @@ def test_another_operators_step_drops_the_tokenizer():
     tok = bpe.tokenizer(path, public_tokenizers.PATTERN)
     assert bpe.tokenizer(path, public_tokenizers.PATTERN) is tok and common._HELD == {"bpe": {(path, public_tokenizers.PATTERN): tok}}
     assert common.held_by("quality") == {} and common._HELD == {"quality": {}}
+
+
+def test_idle_workers_keep_no_memo_tables(spark):
+    from tessera.llm import common
+
+    texts = spark.createDataFrame([(i, f"some unusualword{i} in text{i * 7919} of its own", None, None) for i in range(400)], SCHEMA).repartition(8)
+    out = bpe.encode(texts, PATH, PATTERN)
+    assert out.where(F.size("token_ids") > 0).count() == 400
+    assert bpe.decode(out.drop("text"), PATH, PATTERN).where("text LIKE 'some unusualword%'").count() == 400
+
+    def held(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            toks = list(common._HELD.get("bpe", {}).values())
+            tables = [(len(t.pieces), len(t.pieces.transducer.states) - 1, len(t.pieces.transducer.moves), t.pieces.transducer.kept.cache_info().currsize) for t in toks]
+            yield pa.RecordBatch.from_arrays([pa.array([len(toks)], pa.int64()), pa.array([sum(map(sum, tables))], pa.int64())], names=["toks", "entries"])
+
+    got = spark.range(0, 64, 1, 64).mapInArrow(held, "toks long, entries long").collect()
+    assert max(r.toks for r in got) == 1 and {r.entries for r in got} == {0}
+
+
+def test_a_task_that_ends_early_is_tidied_too():
+    from tessera.llm import common
+
+    done = []
+    run = common.tidy(lambda batches: (b for b in batches), lambda: done.append(1))
+    assert list(run(iter([1, 2]))) == [1, 2] and done == [1]
+    half = run(iter([1, 2]))
+    next(half)
+    half.close()
+    assert done == [1, 1]
