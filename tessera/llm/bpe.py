@@ -8,9 +8,11 @@ of the transducer is that list for the bytes since the last settled boundary, wi
 it, and the longest beginning of a token that the bytes end with (its place in the trie of tokens,
 from which suffix links lead to the shorter ones). A boundary is settled when
 every chain of tokens that can still be continued passes it; a chain can be continued only where the
-bytes read since begin some token, so the lookahead is less than the longest token. It is looked for
-every ``LOOK`` bytes, and tokens before it are emitted. States and transitions are made when first
-met and kept in a bounded table.
+bytes read since begin some token, so the lookahead is less than the longest token. Tokens before it
+are emitted at each byte, and what no later byte asks for is left out (tokens on none of those
+chains, the token before a boundary that nothing can be joined to, a beginning that no token goes on
+from), so beginnings of pieces that differ only in what is settled share a state. States and
+transitions are made when first met and kept in a bounded table.
 """
 
 from __future__ import annotations
@@ -33,11 +35,9 @@ from pyspark.sql import types as T
 from tessera.llm.common import _HELD, bounded, free_name, held_by, slices, texts_of, tidy
 
 #: Entries of the memo tables (of pieces, of states, of kept boundaries) before they are emptied, as they are when a task ends: they bound a worker's memory to about 200 MB.
-PIECES, STATES, BOUNDARIES = 300_000, 120_000, 150_000
+PIECES, STATES, BOUNDARIES = 200_000, 200_000, 50_000
 #: Bytes that the UTF-8 machine is fed at a time.
 DECODED = 1 << 16
-#: Bytes between two looks for a settled boundary.
-LOOK = 16
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -83,13 +83,25 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        #: A state: last settled token; pending bytes; for each pending position the token that ends there; the place in the trie.
-        self.states: list[tuple[bytes, bytes, tuple[bytes, ...], int]] = [(b"", b"", (), 0)]
-        self.settled: dict[tuple, int] = {}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        #: A state: last settled token, if one can follow it directly; for each position since then the token that ends there, None where no chain passes; the positions on its chain, as bits; the place in the trie.
+        self.states: list[tuple[bytes, tuple[bytes | None, ...], tuple[int, ...], int]] = [(b"", (), (0,), 0)]
+        self.numbers = {self.states[0]: 0}
+        #: State's number << 8 | byte to number of what is emitted << 32 | next state's number << 8.
+        self.moves: dict[int, int] = {}
+        self.outputs: list[tuple[int, ...]] = [()]
+        self.output_numbers: dict[tuple[int, ...], int] = {(): 0}
         self.ends: dict[int, tuple[int, ...]] = {}
         self.after: dict[int, int] = {}
-        self.ending_at: dict[int, tuple[bytes, ...]] = {}
+        self.places: dict[int, tuple[tuple[tuple[bytes, int], ...], tuple[int, ...], int]] = {}
+
+    def _renew(self, state: int) -> int:
+        """Empty the tables but for one state, as a piece may be longer than they hold; its new number << 8."""
+        kept = self.states[state >> 8]
+        self.reset()
+        number = self.numbers.setdefault(kept, 1)
+        if number:
+            self.states.append(kept)
+        return number << 8
 
     def _after(self, node: int, byte: int) -> int:
         """The longest beginning of a token at the end of a node's bytes and one more."""
@@ -108,12 +120,16 @@ class Transducer:
             self.suffix[node] = self._after(self._suffix(parent), byte) if parent else 0
         return self.suffix[node]
 
-    def _ending_at(self, node: int) -> tuple[bytes, ...]:
-        """The tokens that a node's bytes end with, longest first."""
-        got = self.ending_at.get(node)
+    def _place(self, node: int) -> tuple[tuple[tuple[bytes, int], ...], tuple[int, ...], int]:
+        """The tokens that a node's bytes end with and their lengths, longest first; the lengths of their ends that a token goes on from; the node of the longest of these."""
+        got = self.places.get(node)
         if got is None:
-            own, rest = self.token_at[node], self._ending_at(self._suffix(node)) if node else ()
-            got = self.ending_at[node] = (own, *rest) if own is not None else rest
+            tokens, lengths, longest = self._place(self._suffix(node)) if node else ((), (), 0)
+            if (own := self.token_at[node]) is not None:
+                tokens = ((own, len(own)), *tokens)
+            if node and self.goes_on[node]:
+                lengths, longest = (self.depth[node], *lengths), node
+            got = self.places[node] = tokens, lengths, longest
         return got
 
     def merge(self, piece: bytes, least: int = 1) -> list[bytes]:
@@ -148,39 +164,39 @@ class Transducer:
             else:
                 limit, right = ranks[right] + 1, b[0]
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        before, pending, ending, node = self.states[state]
-        node = self._after(node, byte)
-        n, token = len(pending) + 1, None
-        for token in self._ending_at(node):
-            left = ending[n - len(token) - 1] if len(token) < n else before
+    def _step(self, state: int, byte: int) -> int:
+        before, ending, chains, node = self.states[state]
+        tokens, lengths, node = self._place(self._after(node, byte))
+        n, at, token = len(ending) + 1, 0, b""
+        for token, length in tokens:
+            at = n - length
+            left = ending[at - 1] if at else before
             if not left or self.kept(left, token):
                 break
-        pending += bytes((byte,))
-        ending += (token,)
-        if len(pending) % LOOK == 0 and (cut := self._boundary(ending, node)):
-            out = self._tokens(ending[:cut])
-            before, pending, ending = ending[cut - 1], pending[cut:], ending[cut:]
-            key = (before, pending, ending)
-            number = self.settled.get(key)
-            if number is None:
-                number = self.settled[key] = len(self.states)
-                self.states.append((*key, node))
-            return number, out
-        self.states.append((before, pending, ending, node))
-        return len(self.states) - 1, ()
-
-    def _boundary(self, ending: tuple[bytes, ...], node: int) -> int:
-        """The last position that the chains of the last token and of every token that can be continued pass; 0 without one."""
-        chains = [0]  # of each position the boundaries on its chain, as bits
-        for at, token in enumerate(ending, 1):
-            chains.append((chains[at - len(token)] if len(token) <= at else 0) | 1 << at)
-        common = chains[-1]
-        while node:
-            if self.goes_on[node]:
-                common &= chains[len(ending) - self.depth[node]]
-            node = self._suffix(node)
-        return max(0, common.bit_length() - 1)
+        # the last position that the chains of the last token and of every token that can be continued pass, and all positions they pass
+        common = passed = chains[at] | 1 << n
+        ending, chains = (*ending, token), (*chains, common)
+        for length in lengths:
+            common &= chains[n - length]
+            passed |= chains[n - length]
+        cut, out = 0, ()
+        if common:
+            cut = common.bit_length() - 1
+            out, before = self._tokens(ending[:cut]), ending[cut - 1]
+            ending, chains, passed = ending[cut:], tuple([chain >> cut & ~1 for chain in chains[cut:]]), passed >> cut & ~1
+        if cut < n and n - cut not in lengths:
+            before = b""
+        if passed + 2 != 2 << n - cut:
+            ending = tuple([token if passed >> at & 1 else None for at, token in enumerate(ending, 1)])
+            chains = (0, *[chain if passed >> at & 1 else 0 for at, chain in enumerate(chains[1:], 1)])
+        after = (before, ending, chains, node)
+        number = self.numbers.setdefault(after, len(self.states))
+        if number == len(self.states):
+            self.states.append(after)
+        emitted = self.output_numbers.setdefault(out, len(self.outputs))
+        if emitted == len(self.outputs):
+            self.outputs.append(out)
+        return emitted << 32 | number << 8
 
     def _tokens(self, ending: tuple[bytes, ...]) -> tuple[int, ...]:
         """The ids on the last position's chain."""
@@ -194,21 +210,23 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > STATES:
-            self.reset()
         out: list[int] = []
         state, moves = 0, self.moves
         for byte in piece:
-            move = moves.get(state << 8 | byte)
+            move = moves.get(state | byte)
             if move is None:
-                move = moves[state << 8 | byte] = self._step(state, byte)
-            state, emitted = move
-            if emitted:
-                out.extend(emitted)
+                if len(self.states) >= STATES:
+                    state = self._renew(state)
+                    moves = self.moves
+                move = moves[state | byte] = self._step(state >> 8, byte)
+            if move >> 32:
+                out += self.outputs[move >> 32]
+                move &= 0xFFFFFFFF
+            state = move
         end = self.ends.get(state)
         if end is None:
-            end = self.ends[state] = self._tokens(self.states[state][2])
-        out.extend(end)
+            end = self.ends[state] = self._tokens(self.states[state >> 8][1])
+        out += end
         return out
 
 
@@ -219,7 +237,7 @@ class _Pieces(dict):
         self.transducer = transducer
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.asarray(self.transducer.encode(piece.encode()), np.int32).tobytes()
+        ids = array("i", self.transducer.encode(piece.encode())).tobytes()
         if len(self) >= PIECES:
             self.clear()
         if len(piece) <= 64:

@@ -41,6 +41,49 @@ def test_transducer_equals_merging_and_has_bounded_state():
     assert max(len(pending) for _, pending, _, _ in t.states) < 4 * t.longest
 
 
+def syllables(n):
+    rng = random.Random(7)
+    parts = ["the", "re", "on", "ing", "an", "er", "ble", "ou", "sh", "wh", "ti", "of", "nt", "ed", "ea", "ly"]
+    return ["".join(rng.choice(parts) for _ in range(rng.randrange(3, 7))) for _ in range(n)]
+
+
+def test_beginnings_that_differ_in_what_is_settled_share_states(reference):
+    """Each state and transition costs a step in Python: most bytes of words not seen yet must meet known ones."""
+    t, steps = bpe.Transducer(bpe.load_ranks(PATH)), []
+    step = t._step
+    t._step = lambda *a: steps.append(1) or step(*a)
+    words = sorted(set(syllables(20_000)))
+    assert [t.encode(w.encode()) for w in words] == [reference.encode_ordinary(w) for w in words]
+    beginnings = {w[:i] for w in words for i in range(1, len(w) + 1)}
+    assert len(t.states) < len(beginnings) / 4 and len(steps) < len(beginnings) / 2
+
+
+def test_tables_are_bounded_inside_a_piece_too(reference, monkeypatch):
+    monkeypatch.setattr(bpe, "STATES", 50)
+    t = bpe.Transducer(bpe.load_ranks(PATH))
+    most, step = [0], t._step
+    t._step = lambda *a: (step(*a), most.append(len(t.states)))[0]
+    rng = random.Random(11)
+    for piece in ["".join(syllables(2000)), " " * 3000, "日本語" * 500, "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(1000)), "x" * 2000, "7" * 2000, "-=" * 1000]:
+        assert t.encode(piece.encode()) == reference.encode_ordinary(piece)
+    assert max(most) <= 51
+
+
+def test_any_bytes_encode_as_merging_does(monkeypatch):
+    monkeypatch.setattr(bpe, "STATES", 300)
+    ranks = bpe.load_ranks(PATH)
+    t, rng, tokens = bpe.Transducer(ranks), random.Random(13), sorted(ranks)
+    for _ in range(1500):
+        kind = rng.randrange(3)
+        if kind == 0:
+            piece = bytes(rng.randrange(256) for _ in range(rng.randrange(1, 30)))
+        elif kind == 1:
+            piece = bytes(rng.choice(b"ab \n\xe3\x81t") for _ in range(rng.randrange(1, 60)))
+        else:
+            piece = b"".join(rng.choice(tokens) for _ in range(rng.randrange(1, 6)))
+        assert t.encode(piece) == ([ranks[piece]] if piece in ranks else [ranks[x] for x in t.merge(piece)])
+
+
 def test_streaming_decode_waits_for_whole_characters():
     m = bpe.Utf8Machine()
     data = "aé日👩z".encode()
